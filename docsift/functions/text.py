@@ -93,37 +93,25 @@ def is_candidate(word: Column) -> Column:
 def fragments(text: Column) -> Column:
     """Array of (orig, ends_seg): text cut after each candidate word and at blank lines.
 
-    Works inside the row by placing control characters at the cuts, so a corpus is split
-    without any shuffle. Blank lines before the first candidate do not cut.
+    Works inside the row, so a corpus is split without any shuffle: one control character
+    marks a cut, another a segment end. Blank lines before the first candidate do not cut.
     """
     text = F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002\u0003", "   ")
     side = r"[ \t\x0B\f\r]*"
+    text = F.regexp_replace(text, f"{BLANK}+$", "")
     text = F.regexp_replace(text, f"{side}\n{side}\n{BLANK}*", "\u0002")
     text = F.regexp_replace(text, f"({CANDIDATE})\u0002", "$1\u0003\u0001")
     text = F.regexp_replace(text, f"({CANDIDATE}){BLANK}+", "$1\u0001")
-    pieces = F.transform(
-        F.split(text, "\u0001"),
-        lambda p, i: F.when(i == 0, F.translate(p, "\u0002", " ")).otherwise(p),
-    )
-    cut = F.flatten(F.transform(pieces, lambda p: _segment(p)))
-    kept = F.filter(cut, lambda f: f["orig"] != "")
-    return F.transform(
-        kept,
-        lambda f, i: F.struct(
-            f["orig"].alias("orig"), (f["ends_seg"] | (i == F.size(kept) - 1)).alias("ends_seg")
-        ),
-    )
-
-
-def _segment(piece: Column) -> Column:
-    parts = F.split(piece, "\u0002")
-    return F.transform(
-        parts,
-        lambda q, j: F.struct(
-            squeeze(F.translate(q, "\u0003", " ")).alias("orig"),
-            ((j < F.size(parts) - 1) | q.endswith("\u0003")).alias("ends_seg"),
+    head = F.translate(F.substring_index(text, "\u0001", 1), "\u0002", " ")
+    tail = F.replace(F.substr(text, F.length(head) + 1), F.lit("\u0002"), F.lit("\u0003\u0001"))
+    pieces = F.split(F.concat(head, tail, F.lit("\u0003")), "\u0001")
+    cut = F.transform(
+        pieces,
+        lambda p: F.struct(
+            squeeze(F.translate(p, "\u0003", " ")).alias("orig"), p.endswith("\u0003").alias("ends_seg")
         ),
     )
+    return F.filter(cut, lambda f: f["orig"] != "")
 
 
 def rule_sentences(text: Column) -> Column:
