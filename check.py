@@ -75,7 +75,7 @@ def main(argv):
         try:
             ok, msg = compare(spark, con, n, catalog.QUERIES[n], catalog.ORACLES.get(n), sf_dir)
         except Exception as e:  # report and go on
-            ok, msg = False, f"{type(e).__name__}: {str(e)[:700]}"
+            ok, msg = False, f"{type(e).__name__}: {str(e).strip()[:300]} {[l for l in str(e).splitlines() if "Error" in l][-1:]}".replace("\n", " ")
         print(("ok   " if ok else "FAIL ") + n, msg, flush=True)
         bad += [] if ok else [n]
     print(f"{len(wanted) - len(bad)} of {len(wanted)} ok; failed: {bad}")
