@@ -71,7 +71,7 @@ def hard_assign(resp: Column) -> Column:
 
 
 def np_digamma(x):
-    x = np.asarray(x, float)
+    x = np.asarray(x) + 0.0
     y = x + SHIFT
     inv = 1.0 / (y * y)
     total = np.zeros_like(y)
@@ -81,7 +81,7 @@ def np_digamma(x):
 
 
 def np_trigamma(x):
-    x = np.asarray(x, float)
+    x = np.asarray(x) + 0.0
     y = x + SHIFT
     inv = 1.0 / (y * y)
     tail = 1 / y + inv / 2 + inv / y * (1 / 6 - inv * (1 / 30 - inv * (1 / 42 - inv / 30)))
@@ -89,7 +89,7 @@ def np_trigamma(x):
 
 
 def np_lgamma(x):
-    x = np.asarray(x, float)
+    x = np.asarray(x) + 0.0
     y = x + SHIFT
     inv = 1.0 / (y * y)
     total = np.zeros_like(y)
