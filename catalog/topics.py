@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from catalog import query
@@ -160,11 +159,13 @@ def multinomial_mode(spark, sf):
     _, triples, model = fixed(spark, sf)
     rows = P.token_loglik(triples, model.topics, K).select("doc_id", "word_id", "cnt", SP.softmax(F.col("phi")).alias("r"))
 
-    @F.pandas_udf("array<double>")
-    def split(n: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series(list(P.multinomial_mode(n.to_numpy(float), np.stack(r)))) if len(n) else pd.Series([], dtype=object)
+    def split(batches):
+        for pdf in batches:
+            if len(pdf):
+                n = P.multinomial_mode(pdf["cnt"].to_numpy(float), np.stack(pdf["r"]))
+                yield pdf[["doc_id", "word_id"]].assign(counts=list(n))
 
-    return rows.select("doc_id", "word_id", split("cnt", "r").alias("counts"))
+    return rows.mapInPandas(split, "doc_id long, word_id int, counts array<double>")
 
 
 @query("topic_top_words", f"WITH {TOP} SELECT k, rank, word_id, word, {rnd('p')} AS p FROM top")

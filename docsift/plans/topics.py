@@ -412,13 +412,15 @@ def soft_partition_topics(triples: DataFrame, k: int, seed=0) -> DataFrame:
 def cluster_topics(triples: DataFrame, k: int, seed=0, max_iter=10, dims=1 << 12) -> DataFrame:
     """(word_id, vec): counts of k clusters of documents (k-means on hashed word counts)."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.feature import HashingTF
 
-    buckets = triples.withColumn("b", F.pmod(F.hash("word_id"), F.lit(dims)))
-    cells = buckets.groupBy("doc_id", "b").agg(F.sum("cnt").cast("double").alias("c"))
-    maps = cells.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    docs = checkpointed(maps.select("doc_id", array_to_vector(dense).alias("features")))
+    repeated = F.transform(
+        F.arrays_zip("word_ids", "counts"),
+        lambda r: F.array_repeat(r["word_ids"].cast("string"), r["counts"].cast("int")),
+    )
+    words = bow.bow_rows(triples).select("doc_id", F.flatten(repeated).alias("words"))
+    hashed = HashingTF(inputCol="words", outputCol="features", numFeatures=dims).transform(words)
+    docs = checkpointed(hashed.select("doc_id", "features"))
     z = KMeans(k=k, seed=seed, maxIter=max_iter).fit(docs).transform(docs).select("doc_id", F.col("prediction").alias("k"))
     parts = [F.sum(F.when(F.col("k") == n, F.col("cnt")).otherwise(0)).cast("double") for n in range(k)]
     return triples.join(z, "doc_id").groupBy("word_id").agg(F.array(*parts).alias("vec"))
