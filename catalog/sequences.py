@@ -22,7 +22,9 @@ def case(values):
 
 
 STEPS = " + ".join
-A, B, P0 = HMM.trans, HMM.emit, HMM.init
+# exponents make the numbers doubles in SQL, not decimals
+A, B, P0 = ([[f"{v}e0" for v in r] for r in m] for m in (HMM.trans, HMM.emit, [HMM.init]))
+P0 = P0[0]
 SEQ = f"""ev AS (SELECT user_id, event_id, list_position({TYPES}, event_type) - 1 AS o, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 ee AS (SELECT *, {case(B[0])} AS e0, {case(B[1])} AS e1, {case(B[2])} AS e2 FROM ev),
 fw AS (SELECT user_id, t, {P0[0]} * e0 AS u0, {P0[1]} * e1 AS u1, {P0[2]} * e2 AS u2, {P0[0]} * e0 + {P0[1]} * e1 + {P0[2]} * e2 AS s FROM ee WHERE t = 1
