@@ -21,6 +21,7 @@ from docsift.functions.ranking import hash_key, hash_uniform
 from docsift.operators import bow
 from docsift.plans.mixture import same_figures, xlogx
 from docsift.session import checkpointed
+from docsift.sources.tables import spread
 
 OUT = "kind string, id long, vec array<double>"
 CHUNK = 50_000
@@ -75,8 +76,10 @@ class TopicModel:
 
 
 def weights_of(v: np.ndarray) -> np.ndarray:
-    rest = np.append(1.0, np.cumprod(1.0 - v))
-    return np.append(v, 1.0) * rest
+    """Weights from stick fractions, the leftover last; works along the last axis."""
+    one = np.ones((*v.shape[:-1], 1))
+    rest = np.concatenate([one, np.cumprod(1.0 - v, axis=-1)], axis=-1)
+    return np.concatenate([v, one], axis=-1) * rest
 
 
 # --- topic tables -------------------------------------------------------------------------
@@ -331,19 +334,23 @@ def alloc_bound(model: TopicModel, ss: TopicStats) -> float:
 
 
 def stick_objective(c: np.ndarray, s: np.ndarray, d: float, alpha0: float, gamma: float, point: bool = False):
-    """Part of the bound that depends on the sticks, per document; c holds log u1 and log u0."""
-    k = len(c) // 2
-    u1, u0 = np.exp(c[:k]), np.exp(c[k:])
+    """Part of the bound that depends on the sticks, per document.
+
+    The last axis of c holds log u1 and log u0; other axes are separate evaluations.
+    """
+    k = c.shape[-1] // 2
+    u1, u0 = np.exp(c[..., :k]), np.exp(c[..., k:])
     v = u1 / (u1 + u0)
     left = k - np.arange(k)
     if point:
         lv, l1 = np.log(v), np.log(1.0 - v)
-        own = (alpha0 - 1.0) * l1.sum()
+        own = ((alpha0 - 1.0) * l1).sum(-1)
     else:
         both = SP.np_digamma(u1 + u0)
         lv, l1 = SP.np_digamma(u1) - both, SP.np_digamma(u0) - both
-        own = (SP.np_lgamma(u1) + SP.np_lgamma(u0) - SP.np_lgamma(u1 + u0) + (1 - u1) * lv + (alpha0 - u0) * l1).sum()
-    return lv.sum() + (left * l1).sum() + ((gamma * weights_of(v) - 1.0) * s / d).sum() + own / d
+        own = (SP.np_lgamma(u1) + SP.np_lgamma(u0) - SP.np_lgamma(u1 + u0) + (1 - u1) * lv + (alpha0 - u0) * l1).sum(-1)
+    mass = ((gamma * weights_of(v) - 1.0) * s / d).sum(-1)
+    return lv.sum(-1) + (left * l1).sum(-1) + mass + own / d
 
 
 def update_sticks(model: TopicModel, s: np.ndarray, d: float, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -353,7 +360,7 @@ def update_sticks(model: TopicModel, s: np.ndarray, d: float, steps: int = 200)
     best = stick_objective(c, *args)
     size = 1.0
     for _ in range(steps):
-        grad = np.array([stick_objective(c + 1e-20j * e, *args).imag / 1e-20 for e in np.eye(len(c))])
+        grad = stick_objective(c + 1e-20j * np.eye(len(c)), *args).imag / 1e-20
         while size > 1e-10:
             trial = np.clip(c + size * grad, -15.0, 15.0)
             value = stick_objective(trial, *args)
@@ -483,5 +490,10 @@ def normalised(docs: DataFrame, k: int) -> DataFrame:
 
 
 def corpus_rows(triples: DataFrame) -> DataFrame:
-    """Document rows written once to the shared folder: every lap reads them, none re-tokenizes."""
-    return checkpointed(bow.bow_rows(triples))
+    """Document rows written once to the shared folder: every lap reads them, none re-tokenizes.
+
+    A small corpus may end up in fewer partitions than cores; then it is written again, spread.
+    """
+    rows = checkpointed(bow.bow_rows(triples))
+    spread_rows = spread(rows, "doc_id")
+    return rows if spread_rows is rows else checkpointed(spread_rows)
