@@ -8,7 +8,8 @@ from catalog.sentences import FRAG, frags
 from catalog.sqltext import rnd
 from catalog.text import docs
 from docsift.functions import text as T
-from docsift.operators import boundary as B, bow
+from docsift.operators import boundary as B, sentences as S
+from docsift.session import checkpointed
 
 CLEAN = r"""replace(regexp_replace(regexp_replace({0}, '[.,\d]*\d', '<NUM>', 'g'), '[^a-zA-Z0-9,.;:<>\-''/?!$% ]', '', 'g'), '--', ' ')"""
 
@@ -41,13 +42,15 @@ pr AS (SELECT 4 * (ln(t1 / (t0 + t1)) - ln(t0 / (t0 + t1))) AS z0 FROM nt),
 pd AS (SELECT doc_id, pos, 1.0 / (1.0 + exp(-(sum(ln(p1) - ln(p0)) + any_value(z0)))) AS pred FROM fe JOIN nb USING (feature), pr GROUP BY doc_id, pos)"""
 
 
-def weak_frags(spark, sf):
-    return B.weak_labels(frags(spark, sf))
+def weak_frags(spark, sf, words=False):
+    return B.weak_labels(S.fragments(docs(spark, sf), words=words))
 
 
-def feats(spark, sf):
-    f = weak_frags(spark, sf)
-    return B.features(f, B.word_stats(f))
+def feats(spark, sf, written=True):
+    """Features of every fragment. Word statistics and features are written once, then read often."""
+    stats = checkpointed(B.word_stats(weak_frags(spark, sf)))
+    x = B.features(weak_frags(spark, sf, words=True), stats)
+    return checkpointed(x) if written else x
 
 
 @query("sbd_clean", f"WITH {FRAG} SELECT doc_id, pos, {CLEAN.format('tokenized')} AS cleaned FROM fr")
@@ -69,12 +72,12 @@ def sbd_word_stats(spark, sf):
 
 @query("sbd_features", f"WITH {FEATS} SELECT doc_id, pos, feature FROM fe")
 def sbd_features(spark, sf):
-    return feats(spark, sf).select("doc_id", "pos", F.explode("features").alias("feature"))
+    return feats(spark, sf, False).select("doc_id", "pos", F.explode("features").alias("feature"))
 
 
 @query("nb_train", f"""WITH {NB} SELECT feature, {rnd('p0', 9)} AS p0, {rnd('p1', 9)} AS p1 FROM nb""")
 def nb_train(spark, sf):
-    model, _ = B.train_naive_bayes(feats(spark, sf))
+    model, _ = B.train_naive_bayes(feats(spark, sf, False))
     return model.select("feature", F.round("p0", 9).alias("p0"), F.round("p1", 9).alias("p1"))
 
 
@@ -89,8 +92,7 @@ def nb_classify(spark, sf):
 g AS (SELECT doc_id, pos, orig, coalesce(sum(cast(ends_seg OR pred > 0.5 AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent_no FROM j)
 SELECT doc_id, cast(sent_no AS INTEGER) AS sent_no, string_agg(orig, ' ' ORDER BY pos) AS sentence FROM g GROUP BY doc_id, sent_no""")
 def sentences_model(spark, sf):
-    f = weak_frags(spark, sf)
-    x = B.features(f, B.word_stats(f))
+    f, x = weak_frags(spark, sf), feats(spark, sf)
     return B.model_sentences(f, B.classify_naive_bayes(x, *B.train_naive_bayes(x)))
 
 
@@ -106,7 +108,7 @@ def confusion(spark, sf):
 @query("svm_boundary")
 def svm_boundary(spark, sf):
     x = feats(spark, sf)
-    return B.classify_svm(x, B.train_svm(x))
+    return B.classify_svm(x, B.train_svm(x, max_iter=10, size=1 << 15))
 
 
 @query("fact_classifier")
@@ -115,5 +117,5 @@ def fact_classifier(spark, sf):
     rows = docs(spark, sf).join(labels, "doc_id").select(
         F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("words"), F.col("quality").alias("label")
     )
-    _, scored = B.train_fact_classifier(rows)
+    _, scored = B.train_fact_classifier(rows, max_iter=10, size=1 << 14)
     return B.confusion(scored)

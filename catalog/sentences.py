@@ -9,6 +9,7 @@ from catalog.text import corpus, docs
 from docsift.functions import text as T
 from docsift.functions.ranking import hash_key
 from docsift.operators import bow, sentences as S, summary as M
+from docsift.session import checkpointed
 
 FRAG = r"""ln AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
     generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS l FROM documents),
@@ -53,10 +54,10 @@ def index(spark, sf):
 
 
 def pick(sents, n, seed):
-    """A user's n chosen sentences: the first in hash order (a fixed small n)."""
+    """A user's n chosen sentences, kept as a table: the first in hash order (a fixed small n)."""
     order = hash_key(seed, "doc_id", "sent_ix")
     best = sents.withColumn("h", order).orderBy("h").limit(n)
-    return best.select((F.row_number().over(W.orderBy("h")) - 1).cast("long").alias("pos"), "doc_id", "sent_ix", "sentence")
+    return checkpointed(best).select((F.row_number().over(W.orderBy("h")) - 1).cast("long").alias("pos"), "doc_id", "sent_ix", "sentence")
 
 
 @query("fragments", f"WITH {FRAG} SELECT doc_id, pos, orig, ends_seg, label FROM fr")

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docsift.functions import text as T
 from docsift.operators import sentences as S
+from docsift.session import checkpointed
 
 ALPHA = "^[A-Za-z]+$"
 
@@ -36,17 +37,16 @@ def _log_count(n: Column) -> Column:
 def features(frags: DataFrame, stats: DataFrame) -> DataFrame:
     """(doc_id, pos, label, features): the named features of the boundary after each fragment.
 
+    Takes fragments with `last_word` and `next_word` (see sentences.fragments).
     Both lookups join many fragments to one row per word, which adaptive execution may
     broadcast or split; the fragments keep their text columns out of the shuffle.
     """
-    first = F.coalesce(F.get(F.split(T.squeeze(T.boundary_clean(F.col("next_tokenized"))), " "), 0), F.lit(""))
-    last = F.element_at(F.split(T.squeeze(T.boundary_clean(F.col("tokenized"))), " "), -1)
     pairs = frags.select(
         "doc_id",
         "pos",
         "label",
-        F.regexp_replace(last, "^.+?-", "").alias("c1"),
-        F.regexp_replace(first, "-.+?$", "").alias("c2"),
+        F.regexp_replace("last_word", "^.+?-", "").alias("c1"),
+        F.regexp_replace("next_word", "-.+?$", "").alias("c2"),
     ).select(
         "*",
         F.replace("c1", F.lit("."), F.lit("")).rlike(ALPHA).alias("alpha1"),
@@ -120,27 +120,28 @@ def squash(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
-def train_svm(feats: DataFrame, c: float = 1.0, max_iter: int = 20):
+def train_svm(feats: DataFrame, c: float = 1.0, max_iter: int = 20, size: int = 1 << 18):
     """Linear SVM on feature counts; the regulariser follows from C and the number of rows."""
     from pyspark.ml.classification import LinearSVC
 
-    data = _vectors(feats).withColumn("label", F.col("label").cast("double"))
-    n = feats.count()
+    data = checkpointed(_vectors(feats, size).select("x", F.col("label").cast("double").alias("label")))
+    n = data.count()
     return LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), featuresCol="x", labelCol="label").fit(data)
 
 
 def classify_svm(feats: DataFrame, model) -> DataFrame:
+    """(doc_id, pos, pred): margin through the logistic function."""
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(_vectors(feats))
+    scored = model.transform(_vectors(feats, model.numFeatures))
     return scored.select("doc_id", "pos", squash(vector_to_array("rawPrediction")[1]).alias("pred"))
 
 
-def _vectors(feats: DataFrame) -> DataFrame:
+def _vectors(feats: DataFrame, size: int) -> DataFrame:
     from pyspark.ml.feature import HashingTF
 
     # hashing needs no dictionary on the driver, whatever the number of features
-    return HashingTF(inputCol="features", outputCol="x", numFeatures=1 << 18, binary=True).transform(feats)
+    return HashingTF(inputCol="features", outputCol="x", numFeatures=size, binary=True).transform(feats)
 
 
 def confusion(rows: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -154,7 +155,7 @@ def model_sentences(frags: DataFrame, preds: DataFrame, threshold: float = 0.5)
     return S.segment(joined, F.col("pred") > threshold)
 
 
-def train_fact_classifier(rows: DataFrame, weight: float = 10.0, share: float = 0.8, max_iter: int = 30):
+def train_fact_classifier(rows: DataFrame, weight: float = 10.0, share: float = 0.8, max_iter: int = 30, size: int = 1 << 18):
     """Linear SVM on bags of words with a heavier positive class.
 
     Columns: id, words (array), label 0/1. The first `share` of rows in id order train, the rest
@@ -165,12 +166,12 @@ def train_fact_classifier(rows: DataFrame, weight: float = 10.0, share: float =
 
     from docsift.functions.ranking import order_rank
 
-    x = HashingTF(inputCol="words", outputCol="x", numFeatures=1 << 18).transform(order_rank(rows, ["id"]))
-    n = rows.count()
+    x = HashingTF(inputCol="words", outputCol="x", numFeatures=size).transform(order_rank(rows, ["id"]))
     x = x.withColumn("label", F.col("label").cast("double")).withColumn(
         "weight", F.when(F.col("label") == 1, weight).otherwise(1.0)
     )
-    cut = int(n * share)
+    x = checkpointed(x.select("id", "x", "label", "weight", "rank"))
+    cut = int(x.count() * share)
     model = LinearSVC(maxIter=max_iter, regParam=1.0 / max(cut, 1), featuresCol="x", weightCol="weight").fit(
         x.where(F.col("rank") < cut)
     )

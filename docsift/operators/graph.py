@@ -82,8 +82,9 @@ def edge_shares(edges: DataFrame, logs: DataFrame, rates: list[float], y: int =
 def communities(nodes: DataFrame, edges: DataFrame, k: int, n_lap: int = 5, seed=0, lam=(0.1, 0.1), alpha0: float | None = None):
     """Fit by variational coordinate ascent: (members(id, alpha), rates, trace of held-out edge log likelihood).
 
-    A non-edge's shares are taken as p_ik p_jk (1 - rate_k), their normaliser being close to one;
-    the sum over all non-edges of a node is then its weight times what the totals leave over.
+    An edge's mass goes to the communities that explain it, and to the node's own mix where the
+    background does. The non-edges of a node all see the mean membership of the nodes it is not
+    linked to, which follows from the totals: m_k exp(L_k mean_k), L_k = ln(1 - rate_k) - ln(1 - eps).
     """
     alpha0 = 1.0 / k if alpha0 is None else alpha0
     train = checkpointed(edges.where(~F.col("heldout")).select("src", "dst"))
@@ -95,25 +96,36 @@ def communities(nodes: DataFrame, edges: DataFrame, k: int, n_lap: int = 5, seed
     trace = []
     for lap in range(n_lap):
         logs = checkpointed(member_logs(members))
-        weight = logs.select("id", F.transform("e", F.exp).alias("p"))
+        weight = logs.select("id", SP.softmax(F.col("e")).alias("m"))
         shares = edge_shares(train, logs, rates.tolist())
-        # one shuffle by node: shares of its edges, and the weights of its neighbours
+        # one shuffle by node: shares of its edges, memberships of its neighbours, background, degree
+        rest = 1.0 - sum(entries("r", k)[1:], entries("r", k)[0])
         facing = F.array(
-            F.struct(F.col("src").alias("id"), "r", F.transform("eb", F.exp).alias("q")),
-            F.struct(F.col("dst").alias("id"), "r", F.transform("ea", F.exp).alias("q")),
+            F.struct(F.col("src").alias("id"), "r", SP.softmax(F.col("eb")).alias("q"), rest.alias("bg")),
+            F.struct(F.col("dst").alias("id"), "r", SP.softmax(F.col("ea")).alias("q"), rest.alias("bg")),
+        )
+        seen = shares.select(F.explode(facing).alias("f"))
+        seen = seen.select("f.id", F.concat("f.r", "f.q", F.array("f.bg", F.lit(1.0))).alias("vec"))
+        wide = 2 * k + 2
+        seen = sum_vectors(seen, ["id"], wide)
+        total = weight.select(F.array(*[F.sum(c) for c in entries("m", k)])).first()[0]
+        rows = weight.join(seen, "id", "left").withColumn("vec", F.coalesce("vec", F.array(*[F.lit(0.0)] * wide)))
+        cells, m = entries("vec", wide), entries("m", k)
+        away = [F.greatest(F.lit(total[c]) - m[c] - cells[k + c], F.lit(0.0)) for c in range(k)]
+        tilt = np.log1p(-rates) - np.log1p(-EPS)
+        n_away = F.greatest(F.lit(float(n - 1)) - cells[2 * k + 1], F.lit(1e-12))
+        away_mix = SP.divide_by_sum(F.array(*[m[c] * F.exp(float(tilt[c]) * away[c] / n_away) for c in range(k)]))
+        rows = rows.select(
+            "id",
+            F.array(*[cells[c] for c in range(k)]).alias("on"),
+            F.array(*[m[c] * away[c] for c in range(k)]).alias("off"),
+            F.array(*[cells[c] + cells[2 * k] * m[c] for c in range(k)]).alias("linked"),
+            F.transform(away_mix, lambda v: v * n_away).alias("unlinked"),
         )
-        seen = shares.select(F.explode(facing).alias("f")).select("f.id", F.concat("f.r", "f.q").alias("vec"))
-        seen = sum_vectors(seen, ["id"], 2 * k)
-        total = weight.select(F.array(*[F.sum(c) for c in entries("p", k)])).first()[0]
-        zero = F.array(*[F.lit(0.0)] * (2 * k))
-        cells, p = entries("vec", 2 * k), entries("p", k)
-        off = [F.greatest(p[c] * (1.0 - rates[c]) * (total[c] - p[c] - cells[k + c]), F.lit(0.0)) for c in range(k)]
-        rows = weight.join(seen, "id", "left").withColumn("vec", F.coalesce("vec", zero))
-        rows = rows.select("id", F.array(*[cells[c] for c in range(k)]).alias("on"), F.array(*off).alias("off"))
         rows = checkpointed(rows)
         sums = rows.select(*[F.sum(F.col(f)[c]) for f in ("on", "off") for c in range(k)]).first()
         on, non = np.array(sums[:k]) / 2.0, np.array(sums[k:]) / 2.0
-        members = rows.select("id", F.zip_with("on", "off", lambda a, b: a + b + alpha0).alias("alpha"))
+        members = rows.select("id", F.zip_with("linked", "unlinked", lambda a, b: a + b + alpha0).alias("alpha"))
         rates = np.clip((lam[0] + on) / (lam[0] + lam[1] + on + non), 1e-9, 1.0 - 1e-9)
         score = edge_shares(held, logs, rates.tolist()).select(F.avg(F.log("z")), F.count(F.lit(1))).first()
         trace.append((float(lap + 1), float(score[0] or 0.0), k, int(score[1])))

@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docsift.functions import text as T
 from docsift.functions.stopwords import ENGLISH
+from docsift.session import checkpointed
 
 
-def fragments(docs: DataFrame, tokenize: bool = False) -> DataFrame:
+def fragments(docs: DataFrame, tokenize: bool = False, words: bool = False) -> DataFrame:
     """(doc_id, pos, orig, tokenized, ends_seg, label, next_tokenized).
 
     `label` is 1 where the last word carries the mark <S>; `next_tokenized` is the following
-    fragment of the same document.
+    fragment of the same document. With `words` also the cleaned words around the boundary,
+    `last_word` and `next_word`, each fragment being cleaned once.
     """
     frags = F.transform(
         T.fragments(F.col("text")),
@@ -25,8 +27,13 @@ def fragments(docs: DataFrame, tokenize: bool = False) -> DataFrame:
             f["ends_seg"].alias("ends_seg"),
         ),
     )
-    pairs = F.arrays_zip(F.col("fs"), F.slice("fs", F.lit(2), F.size("fs")).alias("nx"))
-    rows = docs.select("doc_id", frags.alias("fs")).select("doc_id", F.posexplode(pairs).alias("pos", "f"))
+    rows = docs.select("doc_id", frags.alias("fs"))
+    if words:
+        rows = rows.withColumn("cw", F.transform("fs", lambda f: _edge_words(f["tokenized"])))
+    both = [F.col(c) for c in rows.columns[1:]]
+    after = [F.slice(c, F.lit(2), F.size("fs")).alias(f"n{n}") for n, c in enumerate(both)]
+    rows = rows.select("doc_id", F.posexplode(F.arrays_zip(*both, *after)).alias("pos", "f"))
+    extra = [F.col("f.cw.last").alias("last_word"), F.coalesce("f.n1.first", F.lit("")).alias("next_word")] if words else []
     return rows.select(
         "doc_id",
         "pos",
@@ -34,10 +41,20 @@ def fragments(docs: DataFrame, tokenize: bool = False) -> DataFrame:
         "f.fs.tokenized",
         "f.fs.ends_seg",
         F.element_at(F.split("f.fs.orig", " "), -1).contains("<S>").cast("int").alias("label"),
-        F.col("f.nx.tokenized").alias("next_tokenized"),
+        F.col("f.n0.tokenized").alias("next_tokenized"),
+        *extra,
     )
 
 
+def _edge_words(tokenized: Column) -> Column:
+    clean = T.squeeze(T.boundary_clean(tokenized))
+    # a list of one, so that the cleaning runs once for both ends
+    return F.transform(
+        F.array(clean),
+        lambda c: F.struct(F.substring_index(c, " ", 1).alias("first"), F.substring_index(c, " ", -1).alias("last")),
+    )[0]
+
+
 def _tokenized(orig: Column, tokenize: bool) -> Column:
     return T.unmarked(T.treebank(orig) if tokenize else orig)
 
@@ -73,19 +90,21 @@ def sentence_index(sentences: DataFrame, vocab: DataFrame, stopwords=ENGLISH, li
 
     sents(doc_id, sent_ix, sentence): short sentences with at least one vocabulary word;
     sent_ix counts the kept sentences of a document. sent_term(doc_id, sent_ix, word_id, cnt).
+    Only words and counts are shuffled; the text joins again by key.
     """
-    bow = (
-        short(sentences, limit)
-        .select("doc_id", "sent_no", "sentence", F.explode(T.content_tokens(F.col("sentence"), stopwords)).alias("word"))
+    kept = short(sentences, limit)
+    counts = (
+        kept.select("doc_id", "sent_no", F.explode(T.content_tokens(F.col("sentence"), stopwords)).alias("word"))
         .join(vocab.select("word", "word_id"), "word")
         .groupBy("doc_id", "sent_no", "word_id")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.any_value("sentence").alias("sentence"))
+        .agg(F.count(F.lit(1)).alias("cnt"))
     )
     # dense_rank over the kept rows of one document numbers its kept sentences
     ix = F.dense_rank().over(W.partitionBy("doc_id").orderBy("sent_no")) - 1
-    full = bow.withColumn("sent_ix", ix)
-    sents = full.groupBy("doc_id", "sent_ix").agg(F.any_value("sentence").alias("sentence"))
-    return sents, full.select("doc_id", "sent_ix", "word_id", "cnt")
+    terms = checkpointed(counts.withColumn("sent_ix", ix))
+    keys = terms.select("doc_id", "sent_no", "sent_ix").distinct()
+    sents = kept.join(keys, ["doc_id", "sent_no"]).select("doc_id", "sent_ix", "sentence")
+    return sents, terms.select("doc_id", "sent_ix", "word_id", "cnt")
 
 
 def sentence_maps(sent_term: DataFrame) -> DataFrame:

@@ -10,14 +10,15 @@ from docsift.functions.stopwords import ENGLISH
 def word_totals(docs: DataFrame, stopwords=ENGLISH) -> DataFrame:
     """Streaming (word, df, cf) over a stream of documents; state holds one row per word.
 
-    Each document is counted inside its row first, so a word reaches the shuffle once per
-    document and `df` needs no distinct.
+    A document's words are sorted inside its row; the first of each run of equal words counts the
+    document, so `df` needs no distinct.
     """
     words = F.array_sort(T.content_tokens(F.col("text"), stopwords))
-    per_doc = docs.select(words.alias("ws")).select("ws", F.explode(F.array_distinct("ws")).alias("word"))
-    # position of the last minus the first occurrence in the sorted array
-    n = F.size("ws") - F.array_position(F.reverse("ws"), F.col("word")) - F.array_position("ws", F.col("word")) + 2
-    return per_doc.select("word", n.alias("n")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("n").cast("long").alias("cf"))
+    marked = F.transform(
+        "ws", lambda w, i: F.struct(w.alias("word"), ((i == 0) | (F.get("ws", i - 1) != w)).cast("long").alias("first"))
+    )
+    rows = docs.select(words.alias("ws")).select(F.explode(marked).alias("r"))
+    return rows.groupBy("r.word").agg(F.sum("r.first").alias("df"), F.count(F.lit(1)).alias("cf"))
 
 
 def run_available(spark: SparkSession, stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
