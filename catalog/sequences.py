@@ -8,7 +8,7 @@ from catalog.mixtures import TYPES
 from catalog.sqltext import rnd
 from docsift.operators import hmm as H
 from docsift.session import scratch_path
-from docsift.streaming import counts, filtering
+from docsift.streaming import filtering
 
 HMM = H.Hmm(
     [0.5, 0.3, 0.2],
@@ -74,5 +74,5 @@ def stream_hmm_filter(spark, sf):
     path = scratch_path(spark, "events")
     events(spark, sf).withColumnRenamed("user_id", "key").write.parquet(path)
     stream = spark.readStream.schema("key long, ts timestamp, id long, obs int").parquet(path)
-    got = counts.run_available(spark, filtering.filter_events(stream, HMM), scratch_path(spark, "filter"), "append")
+    got = filtering.filter_events(spark, stream, HMM, scratch_path(spark, "filter"), length=32)
     return got.select(F.col("id").alias("event_id"), *[F.round(F.col("f")[i], 6).alias(f"f{i}") for i in range(3)])

@@ -22,10 +22,10 @@ def bow_roundtrip(spark, sf):
     return bow_files.read_triples(spark, path)
 
 
-@query("ingest_archive", """SELECT 'batch-' || (doc_id % 8) || '.zip' AS archive, 'in/' || doc_id || '.txt' AS member, doc_id || '.txt' AS name,
+@query("ingest_archive", """SELECT 'batch-' || (doc_id // 100) || '.zip' AS archive, 'in/' || doc_id || '.txt' AS member, doc_id || '.txt' AS name,
   strlen(text) AS n_bytes, md5(text) AS digest FROM documents""")
 def ingest_archive(spark, sf):
-    """The documents table zipped into eight archives, then read back member by member."""
+    """The documents table zipped a hundred to an archive, then read back member by member."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         buf = io.BytesIO()
@@ -35,7 +35,7 @@ def ingest_archive(spark, sf):
                 z.writestr(f"in/{doc}.skip", b"not kept")
         return pd.DataFrame([(f"batch-{pdf['b'].iloc[0]}.zip", buf.getvalue())], columns=["path", "content"])
 
-    files = docs(spark, sf).withColumn("b", F.col("doc_id") % 8).groupBy("b").applyInPandas(pack, "path string, content binary")
+    files = docs(spark, sf).withColumn("b", F.floor(F.col("doc_id") / 100)).groupBy("b").applyInPandas(pack, "path string, content binary")
     got = archive.extract(files)
     return got.select("archive", "member", "name", F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
 

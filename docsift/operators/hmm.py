@@ -117,15 +117,21 @@ def log_likelihood(packed: DataFrame, hmm: Hmm) -> DataFrame:
     return whole.mapInPandas(run, "key long, log_lik double")
 
 
-def messages(rows: DataFrame, parents: DataFrame | None, keys: list[str], order: str, hmm: Hmm) -> DataFrame:
+def messages(rows: DataFrame, parents: DataFrame | None, keys: list[str], order: str, hmm: Hmm, state: DataFrame | None = None) -> DataFrame:
     """What enters each part from both sides: (keys, order, f, b); f is empty at a sequence's start.
 
-    `parents` carries the messages entering the whole run of parts; none means whole sequences.
+    `parents` carries the messages entering the whole run of parts; none means whole sequences,
+    which start afresh or from the filters in `state` (key, f).
     """
     k = hmm.k
     grouped = _gathered(rows, keys, order)
     if parents is None:
-        grouped = grouped.withColumn("f", F.array().cast("array<double>")).withColumn("b", F.array(*[F.lit(1.0)] * k))
+        fresh = F.array().cast("array<double>")
+        if state is not None:
+            grouped = grouped.join(state.select("key", "f"), "key", "left").withColumn("f", F.coalesce("f", fresh))
+        else:
+            grouped = grouped.withColumn("f", fresh)
+        grouped = grouped.withColumn("b", F.array(*[F.lit(1.0)] * k))
     else:
         grouped = grouped.join(parents, keys)
 
@@ -157,33 +163,77 @@ def smooth(packed: DataFrame, hmm: Hmm) -> DataFrame:
 
     `pair` is a K x K array in row order, null for the first event of a sequence.
     """
-    k = hmm.k
-    parts = checkpointed(summaries(packed, hmm))
-    per_slice = chained(parts, ["key", "slice"], "chunk", hmm)
-    into_slice = messages(per_slice, None, ["key"], "slice", hmm)
-    into_chunk = messages(parts, into_slice, ["key", "slice"], "chunk", hmm)
-    rows = packed.join(into_chunk, ["key", "slice", "chunk"])
+    rows = _with_messages(packed, checkpointed(summaries(packed, hmm)), hmm)
 
     def run(batches):
         for pdf in batches:
-            for block, size in _blocks(pdf, k):
+            for block, size in _blocks(pdf, hmm.k):
                 yield _smooth_block(block, size, hmm)
 
     return rows.mapInPandas(run, "key long, id long, resp array<double>, pair array<double>")
 
 
-def _smooth_block(block, size, hmm):
-    n, k = len(block), hmm.k
-    e = _evidence(block, size, hmm)
+def _with_messages(packed, parts, hmm, state=None):
+    per_slice = chained(parts, ["key", "slice"], "chunk", hmm)
+    into_slice = messages(per_slice, None, ["key"], "slice", hmm, state)
+    into_chunk = messages(parts, into_slice, ["key", "slice"], "chunk", hmm)
+    return packed.join(into_chunk, ["key", "slice", "chunk"])
+
+
+def filter_forward(packed: DataFrame, hmm: Hmm, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Forward filters (key, id, f), and the state (key, f, log_lik) after the last event of each key.
+
+    `state` continues earlier sequences. Both results are cheap in the number of keys, and a key
+    with very many events is spread over its chunks.
+    """
+    parts = checkpointed(summaries(packed, hmm))
+    rows = _with_messages(packed, parts, hmm, state)
+
+    def run(batches):
+        for pdf in batches:
+            for block, size in _blocks(pdf, hmm.k):
+                fwd = _forward(block, size, _evidence(block, size, hmm), hmm)[0]
+                live = np.arange(size.max()) < size[:, None]
+                yield pd.DataFrame({"key": np.repeat(block["key"].to_numpy(), size), "id": np.concatenate(block["ids"].to_numpy()), "f": list(fwd[live])})
+
+    filters = rows.select("key", "ids", "obs", "f", "b").mapInPandas(run, "key long, id long, f array<double>")
+    whole = chained(chained(parts, ["key", "slice"], "chunk", hmm), ["key"], "slice", hmm)
+    if state is None:
+        whole = whole.withColumn("f", F.array().cast("array<double>")).withColumn("log_lik", F.lit(0.0))
+    else:
+        whole = whole.join(state, "key", "full")
+
+    def last(batches):
+        for pdf in batches:
+            out = []
+            for key, m, ls, f, ll in zip(pdf["key"], pdf["m"], pdf["ls"], pdf["f"], pdf["log_lik"]):
+                if m is not None:
+                    start = hmm.init if f is None or len(f) == 0 else np.asarray(f) @ hmm.trans
+                    new = start @ m.reshape(hmm.k, hmm.k)
+                    f, ll = new / new.sum(), (0.0 if pd.isna(ll) else ll) + float(np.log(new.sum())) + ls
+                out.append((key, f, ll))
+            yield pd.DataFrame(out, columns=["key", "f", "log_lik"])
+
+    return filters, whole.select("key", "m", "ls", "f", "log_lik").mapInPandas(last, "key long, f array<double>, log_lik double")
+
+
+def _forward(block, size, e, hmm):
     first = block["f"].map(len).to_numpy() == 0
-    prev = np.stack([f if len(f) else np.zeros(k) for f in block["f"]])
-    fwd = np.zeros((n, size.max(), k))
+    prev = np.stack([f if len(f) else np.zeros(hmm.k) for f in block["f"]])
+    fwd = np.zeros((len(block), size.max(), hmm.k))
     for t in range(size.max()):
         pred = (prev if t == 0 else fwd[:, t - 1]) @ hmm.trans
         if t == 0:
             pred[first] = hmm.init
         f = pred * e[:, t]
         fwd[:, t] = f / f.sum(1, keepdims=True)
+    return fwd, prev, first
+
+
+def _smooth_block(block, size, hmm):
+    n, k = len(block), hmm.k
+    e = _evidence(block, size, hmm)
+    fwd, prev, first = _forward(block, size, e, hmm)
     back = np.zeros((n, size.max(), k))
     last = np.stack(block["b"])
     for t in range(size.max() - 1, -1, -1):
@@ -205,14 +255,3 @@ def _smooth_block(block, size, hmm):
     for at in np.flatnonzero(starts[live]):
         pairs[at] = None
     return pd.DataFrame({"key": np.repeat(block["key"].to_numpy(), size), "id": np.concatenate(block["ids"].to_numpy()), "resp": list(resp[live]), "pair": pairs})
-
-
-def filter_step(state: np.ndarray | None, loglik: float, obs: np.ndarray, hmm: Hmm):
-    """Forward filter over one key's new events: all filters, the last one, and the log likelihood."""
-    out = np.zeros((len(obs), hmm.k))
-    for t, e in enumerate(hmm.evidence(obs)):
-        f = (hmm.init if state is None else state @ hmm.trans) * e
-        loglik += float(np.log(f.sum()))
-        state = f / f.sum()
-        out[t] = state
-    return out, state, loglik

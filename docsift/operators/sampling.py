@@ -46,15 +46,14 @@ def weighted_draw(items: DataFrame, key: str, weight: str, n_draws: int, seed=0)
         "_slice", "_last", "_t", F.coalesce(F.sum("_t").over(before), F.lit(0.0)).alias("_start")
     )
     total = bounds.select(F.sum("_t")).scalar()
-    # a draw of one slice; slices are few (one row each)
+    # the slice bounds are one short array; a draw looks its slice up there, without a join
+    table = bounds.select(F.sort_array(F.collect_list(F.struct("_start", "_slice", "_last")))).scalar()
     draws = cut.sparkSession.range(n_draws).select(F.col("id").cast("int").alias("draw"))
-    draws = draws.withColumn("u", hash_uniform(seed, "draw") * total)
-    last_slice = bounds.select(F.max("_slice")).scalar()
-    routed = draws.join(
-        F.broadcast(bounds),
-        (F.col("u") >= F.col("_start"))
-        & ((F.col("u") < F.col("_start") + F.col("_t")) | (F.col("_slice") == last_slice)),
-    ).select("draw", "_slice", "_last", (F.col("u") - F.col("_start")).alias("_v"))
+    draws = draws.withColumn("u", hash_uniform(seed, "draw") * total).withColumn("t", table)
+    own = F.element_at(F.filter("t", lambda b: b["_start"] <= F.col("u")), -1)
+    routed = draws.withColumn("b", own).select(
+        "draw", F.col("b._slice").alias("_slice"), F.col("b._last").alias("_last"), (F.col("u") - F.col("b._start")).alias("_v")
+    )
     inside = W.partitionBy("_slice").orderBy("_pos")
     rows = cut.withColumn("_hi", F.sum(weight).over(inside.rowsBetween(W.unboundedPreceding, 0)))
     rows = rows.withColumn("_lo", F.coalesce(F.lag("_hi").over(inside), F.lit(0.0)))

@@ -1,36 +1,36 @@
 """Forward filtering of hidden states while events arrive."""
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docsift.operators.hmm import Hmm, filter_step
+from docsift.operators import hmm as H
 
+STATE = "key long, f array<double>, log_lik double"
 
-def filter_events(events: DataFrame, hmm: Hmm, delay: str = "10 minutes") -> DataFrame:
-    """(key, id, ts, f, log_lik) per event. Input: key, id, ts, obs.
 
-    The state of a key is its last filter and log likelihood: K + 1 numbers. Rows later than the
-    watermark are dropped; rows of one micro-batch are put in time order.
+def filter_events(spark: SparkSession, stream: DataFrame, hmm: H.Hmm, path: str, delay: str = "10 minutes", length: int = 4096) -> DataFrame:
+    """Filters every available event (key, id, ts, obs); returns (key, id, f).
+
+    The state is a table versioned by batch: batch b reads version b, writes version b + 1 and its
+    own output folder, so a retry changes nothing. Inside a micro-batch a key's events are cut in
+    chunks, so a busy key does not end up in one task. Events older than the newest one of earlier
+    batches minus `delay` are dropped; within a batch events are put in time order.
     """
 
-    def update(key, batches, state):
-        f, loglik = (np.array(state.get[0]), state.get[1]) if state.exists else (None, 0.0)
-        pdf = pd.concat(list(batches)).sort_values(["ts", "id"])
-        out, f, loglik = filter_step(f, loglik, pdf["obs"].to_numpy(), hmm)
-        state.update((f.tolist(), float(loglik)))
-        yield pdf[["id", "ts"]].assign(key=key[0], f=list(out), log_lik=loglik)[["key", "id", "ts", "f", "log_lik"]]
-
-    return (
-        events.withWatermark("ts", delay)
-        .groupBy("key")
-        .applyInPandasWithState(
-            update,
-            "key long, id long, ts timestamp, f array<double>, log_lik double",
-            "f array<double>, log_lik double",
-            "append",
-            GroupStateTimeout.NoTimeout,
-        )
-    )
+    def step(batch: DataFrame, batch_id: int) -> None:
+        rows, state = batch, None
+        if batch_id > 0:
+            newest = spark.read.schema("newest timestamp").parquet(f"{path}/newest/version={batch_id}")
+            rows = batch.where(F.col("ts") >= newest.select(F.col("newest") - F.expr(f"INTERVAL {delay}")).scalar())
+            state = spark.read.schema(STATE).parquet(f"{path}/state/version={batch_id}")
+        filters, after = H.filter_forward(H.chunks(rows, "key", ["ts"], length), hmm, state)
+        filters.write.mode("overwrite").parquet(f"{path}/result/batch={batch_id}")
+        after.write.mode("overwrite").parquet(f"{path}/state/version={batch_id + 1}")
+        seen = rows.agg(F.max("ts").alias("newest"))
+        if batch_id > 0:
+            seen = seen.unionAll(newest).agg(F.max("newest").alias("newest"))
+        seen.write.mode("overwrite").parquet(f"{path}/newest/version={batch_id + 1}")
+
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("key long, id long, f array<double>, batch int").parquet(f"{path}/result").drop("batch")

@@ -55,10 +55,25 @@ def test_stream_filter_equals_forward_pass(spark, events, tmp_path):
     for part in range(3):
         src.where((F.col("id") >= part * 150) & (F.col("id") < (part + 1) * 150)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = counts.run_available(spark, filtering.filter_events(stream, MODEL), str(tmp_path / "out"), "append")
-    last = {r.key: r.log_lik for r in got.groupBy("key").agg(F.max_by("log_lik", "ts").alias("log_lik")).collect()}
+    path = str(tmp_path / "out")
+    got = {r.id: r.f for r in filtering.filter_events(spark, stream, MODEL, path, length=8).collect()}
+    state = {r.key: (r.f, r.log_lik) for r in spark.read.parquet(path + "/state/version=3").collect()}
     for user in (1, 2, 3, 4):
-        assert np.isclose(last[user], brute([r[3] for r in rows if r[0] == user])[1])
+        mine = [r for r in rows if r[0] == user]
+        assert np.isclose(state[user][1], brute([r[3] for r in mine])[1])
+        for n in (1, len(mine) // 2, len(mine)):
+            # the filter at step n is the smoother of the first n events at its last step
+            assert np.allclose(got[mine[n - 1][2]], brute([r[3] for r in mine[:n]])[0][-1])
+
+
+def test_late_events_are_dropped(spark, events, tmp_path):
+    rows, df = events
+    src = df.select(F.col("user").alias("key"), "ts", "id", "obs")
+    src.where("id >= 200").coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
+    src.where("id < 200").coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    out = filtering.filter_events(spark, stream, MODEL, str(tmp_path / "out")).collect()
+    assert sorted(r.id for r in out) == list(range(200, 400))
 
 
 def test_stream_counts_equal_batch(spark, tmp_path):
