@@ -39,10 +39,11 @@ class TopicModel:
     gamma: float = 0.5
     sticks: str = "full"
     assign: str = "soft"
-    limit_bytes: int = 256 << 20
+    limit_bytes: int = 64 << 20
     u1: np.ndarray = field(default=None)
     u0: np.ndarray = field(default=None)
     topics: DataFrame = field(default=None, repr=False)
+    matrix: np.ndarray = field(default=None, repr=False)
 
     def __post_init__(self):
         if self.kind == "hdp" and self.u1 is None:
@@ -67,6 +68,7 @@ class TopicModel:
 
     def replace(self, **changes) -> "TopicModel":
         new = copy.copy(self)
+        new.matrix = None
         for name, v in changes.items():
             setattr(new, name, v)
         return new
@@ -126,13 +128,15 @@ def topic_shares(topics: DataFrame, k: int) -> DataFrame:
 
 
 def as_matrix(model: TopicModel) -> np.ndarray:
-    """The V x K table as an array; only for models under the size limit."""
+    """The V x K table as an array, fetched once per model; only for models under the size limit."""
     if not model.fits():
         raise ValueError("topic table above the limit")
-    pdf = model.topics.toPandas()
-    lam = np.full((model.vocab_size, model.k), model.lam0)
-    lam[pdf["word_id"].to_numpy()] = np.stack(pdf["lam"])
-    return lam
+    if model.matrix is None:
+        pdf = model.topics.toPandas()
+        lam = np.full((model.vocab_size, model.k), model.lam0)
+        lam[pdf["word_id"].to_numpy()] = np.stack(pdf["lam"])
+        model.matrix = lam
+    return model.matrix
 
 
 # --- E step -------------------------------------------------------------------------------
@@ -295,16 +299,21 @@ def topic_stats(rows: DataFrame, model: TopicModel, n_inner=10, tol=0.01, pairs=
 # --- bound and updates --------------------------------------------------------------------
 
 
-def dirichlet_bound(topics: DataFrame, model: TopicModel) -> np.ndarray:
-    """Log normaliser of each topic's posterior minus that of the prior; sums over V rows on Spark."""
-    k = model.k
+def dirichlet_bound(model: TopicModel) -> np.ndarray:
+    """Log normaliser of each topic's posterior minus that of the prior.
+
+    A table small enough to ship is at hand as an array; a larger one is summed on Spark.
+    """
+    k, v = model.k, model.vocab_size
+    prior = v * SP.np_lgamma(model.lam0) - SP.np_lgamma(v * model.lam0)
+    if model.fits():
+        lam = as_matrix(model)
+        return SP.np_lgamma(lam).sum(0) - SP.np_lgamma(lam.sum(0)) - prior
     sums = [F.sum(SP.lgamma(c)).alias(f"g{i}") for i, c in enumerate(entries("lam", k))]
     mass = [F.sum(c).alias(f"t{i}") for i, c in enumerate(entries("lam", k))]
-    row = topics.agg(*sums, *mass).first()
+    row = model.topics.agg(*sums, *mass).first()
     g = np.array([row[f"g{i}"] for i in range(k)])
     t = np.array([row[f"t{i}"] for i in range(k)])
-    v = model.vocab_size
-    prior = v * SP.np_lgamma(model.lam0) - SP.np_lgamma(v * model.lam0)
     return g - SP.np_lgamma(t) - prior
 
 
@@ -463,7 +472,7 @@ def fit(rows, vocab, model, n_lap=10, digits=6, n_inner=10, callbacks=None, afte
     for lap in range(first_lap, n_lap):
         ss = topic_stats(rows, model, n_inner, pairs=after_lap is not None)
         model = m_step(model, vocab, ss)
-        data = dirichlet_bound(model.topics, model)
+        data = dirichlet_bound(model)
         bound = float(data.sum()) + alloc_bound(model, ss)
         if after_lap is not None:
             model, bound = after_lap(model, ss, bound, data)

@@ -58,6 +58,8 @@ def test_join_path_equals_shipped_path(bars):
     b = {r.word_id: r.vec for r in large.counts.collect()}
     assert a.keys() == b.keys() and all(np.allclose(a[w], b[w]) for w in a)
     assert np.allclose(small.s, large.s) and np.isclose(small.q_pi, large.q_pi)
+    assert np.allclose(P.dirichlet_bound(model), P.dirichlet_bound(model.replace(limit_bytes=0)))
+    assert np.allclose([s[2] for s in moves.topic_merge_scores(model)], [s[2] for s in moves.topic_merge_scores(model.replace(limit_bytes=0), 2)])
 
 
 def test_one_batch_memoized_equals_full(bars):
