@@ -8,6 +8,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 MODULES = sorted(f[:-3] for f in os.listdir(os.path.dirname(__file__)) if f.endswith(".py") and f not in ("__init__.py", "sqltext.py"))
 
+
 def query(name: str, sql: str | None = None):
     """Register a (spark, sf_dir) -> DataFrame function under `name`."""
 
@@ -20,6 +21,7 @@ def query(name: str, sql: str | None = None):
 
     return keep
 
+
 def load():
     """Import every catalog module once."""
     for name in MODULES:
