@@ -22,41 +22,31 @@ def even_tree(n: int, per_rack: int = 5, racks: int = 4) -> Tree:
     return [(s // (per_rack * racks), s // per_rack, s, 1.0) for s in range(n)]
 
 
-def _draw(key: Column, level: str, child: Column, weight: Column) -> Column:
-    digits = F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{level}:"), child.cast("string"))), 1, 12)
-    unit = (F.conv(digits, 16, 10).cast("double") + 1) / F.lit(float(16**12))
-    return F.log(unit) / weight
+def _descend(key: Column, level: str, nodes: list[tuple[int, int, float]], parent: Column) -> Column:
+    """The child with the largest draw among the (parent, child, weight) nodes below the chosen parent."""
+    fixed = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(c).alias("c"), F.lit(w).alias("w")) for p, c, w in nodes])
 
+    def draw(x: Column) -> Column:
+        name = F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{level}:"), x["c"].cast("string"))
+        unit = (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") + 1) / F.lit(float(16**12))
+        return F.struct((F.log(unit) / x["w"]).alias("d"), x["c"].alias("c"))
 
-def _choose(key: Column, level: str, nodes: dict[int, float]) -> Column:
-    """The child with the largest draw among fixed children."""
-    draws = [F.struct(_draw(key, level, F.lit(c), F.lit(w)).alias("d"), F.lit(c).alias("c")) for c, w in sorted(nodes.items())]
-    return (F.greatest(*draws) if len(draws) > 1 else draws[0])["c"]
-
-
-def _descend(key: Column, level: str, parent: Column, below: dict[int, dict[int, float]]) -> Column:
-    """The child drawn below the chosen parent."""
-    out = None
-    for p, nodes in sorted(below.items()):
-        choice = _choose(key, level, nodes)
-        out = F.when(parent == p, choice) if out is None else out.when(parent == p, choice)
-    return out
+    return F.array_max(F.transform(F.filter(fixed, lambda x: x["p"] == parent), draw))["c"]
 
 
 def shard_of(df: DataFrame, key: str, tree: Tree, name: str) -> DataFrame:
     """df with the shard of each row under the tree, as column `name`."""
-    regions: dict[int, float] = {}
-    racks: dict[int, dict[int, float]] = {}
-    shards: dict[int, dict[int, float]] = {}
-    for region, rack, shard, weight in tree:
-        regions[region] = regions.get(region, 0.0) + weight
-        racks.setdefault(region, {})[rack] = racks.get(region, {}).get(rack, 0.0) + weight
-        shards.setdefault(rack, {})[shard] = weight
+    regions: dict[tuple[int, int], float] = {}
+    racks: dict[tuple[int, int], float] = {}
+    for region, rack, _, weight in tree:
+        regions[0, region] = regions.get((0, region), 0.0) + weight
+        racks[region, rack] = racks.get((region, rack), 0.0) + weight
+    flat = lambda nodes: [(p, c, w) for (p, c), w in sorted(nodes.items())]
     k = F.col(key)
     return (
-        df.withColumn("_region", _choose(k, "region", regions))
-        .withColumn("_rack", _descend(k, "rack", F.col("_region"), racks))
-        .withColumn(name, _descend(k, "shard", F.col("_rack"), shards))
+        df.withColumn("_region", _descend(k, "region", flat(regions), F.lit(0)))
+        .withColumn("_rack", _descend(k, "rack", flat(racks), F.col("_region")))
+        .withColumn(name, _descend(k, "shard", [(r, s, w) for _, r, s, w in tree], F.col("_rack")))
         .drop("_region", "_rack")
     )
 
