@@ -7,30 +7,6 @@ from docsift.llm.registry import query
 from docsift.llm.shards import even_tree, shard
 
 
-def _level(tree, level, nodes, parent):
-    """Rows of documents with the child of the largest draw below their parent."""
-    values = ", ".join(f"({p}, {c}, {w}::DOUBLE)" for p, c, w in nodes)
-    unit = f"(('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{level}:' || c), 1, 12))::BIGINT + 1) / {16**12}::DOUBLE"
-    return f"""(SELECT r.doc_id, arg_max(c, ln({unit}) / w) AS {level}
-        FROM {tree} r JOIN (VALUES {values}) AS n(p, c, w) ON n.p = r.{parent} GROUP BY r.doc_id)"""
-
-
-def _tree_sql(n):
-    tree, regions, racks = even_tree(n), {}, {}
-    for region, rack, _, w in tree:
-        regions[region] = regions.get(region, 0) + w
-        racks[region, rack] = racks.get((region, rack), 0) + w
-    top = _level("(SELECT doc_id, 0 AS root FROM documents)", "region", [(0, r, w) for r, w in regions.items()], "root")
-    mid = _level(top, "rack", [(a, b, w) for (a, b), w in racks.items()], "region")
-    return _level(mid, "shard", [(r, s, w) for _, r, s, w in tree], "rack")
-
-
-SQL = f"""
-SELECT d.doc_id, (strlen(coalesce(text, '')) + 16)::BIGINT AS size, 'key' AS law, a.shard, b.shard AS grown_shard
-FROM documents d JOIN {_tree_sql(40)} a USING (doc_id) JOIN {_tree_sql(41)} b USING (doc_id)
-"""
-
-
 @query("op8_shards")
 def op8_shards(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docsift.llm.common import slots
+from docsift.llm.common import slots, table
 
 Tree = list[tuple[int, int, int, float]]  # region, rack, shard, weight
 
@@ -34,6 +34,11 @@ def _descend(key: Column, level: str, nodes: list[tuple[int, int, float]], paren
     return F.array_max(F.transform(F.filter(fixed, lambda x: x["p"] == parent), draw))["c"]
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once a row, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def shard_of(df: DataFrame, key: str, tree: Tree, name: str) -> DataFrame:
     """df with the shard of each row under the tree, as column `name`."""
     regions: dict[tuple[int, int], float] = {}
@@ -43,12 +48,14 @@ def shard_of(df: DataFrame, key: str, tree: Tree, name: str) -> DataFrame:
         racks[region, rack] = racks.get((region, rack), 0.0) + weight
     flat = lambda nodes: [(p, c, w) for (p, c), w in sorted(nodes.items())]
     k = F.col(key)
-    return (
-        df.withColumn("_region", _descend(k, "region", flat(regions), F.lit(0)))
-        .withColumn("_rack", _descend(k, "rack", flat(racks), F.col("_region")))
-        .withColumn(name, _descend(k, "shard", [(r, s, w) for _, r, s, w in tree], F.col("_rack")))
-        .drop("_region", "_rack")
+    drawn = _once(
+        _descend(k, "region", flat(regions), F.lit(0)),
+        lambda region: _once(
+            _descend(k, "rack", flat(racks), region),
+            lambda rack: _descend(k, "shard", [(r, s, w) for _, r, s, w in tree], rack),
+        ),
     )
+    return df.withColumn(name, F.coalesce(drawn, F.lit(-1)))
 
 
 def shard(docs: DataFrame, tree: Tree, grown: Tree, buckets: int = 64) -> DataFrame:
@@ -56,5 +63,6 @@ def shard(docs: DataFrame, tree: Tree, grown: Tree, buckets: int = 64) -> DataFr
     raw = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     rows = docs.select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
     placed = shard_of(shard_of(rows, "doc_id", tree, "shard"), "doc_id", grown, "grown_shard")
+    placed = table(docs.sparkSession, placed, "placed")  # texts are read once
     order = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
     return slots(placed, "shard", order, "slot", buckets)
