@@ -45,10 +45,14 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def inverse_powers(n: int) -> np.ndarray:
+    """Factors that move a stretch from its position to position 0."""
+    return powers(pow(_BASE, -1, 2**64), n)
+
+
 def stretch_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of data[starts:ends], equal for equal bytes at any place."""
-    inverse = powers(pow(_BASE, -1, 2**64), len(prefix))
-    return mixed((prefix[ends] - prefix[starts]) * inverse[starts])
+    return mixed((prefix[ends] - prefix[starts]) * inverse_powers(len(prefix))[starts])
 
 
 def word_places(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
