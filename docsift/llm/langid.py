@@ -55,11 +55,8 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"seen": {}}
 
-    def word(self, w: str) -> np.ndarray:
-        """Log frequency of a word in each language."""
-        at = self.words.get(w)
-        if at is not None:
-            return self.word_logs[at]
+    def unseen(self, w: str) -> np.ndarray:
+        """Log frequency in each language of a word that is not in the model."""
         got = self.seen.get(w)
         if got is None:
             got = np.zeros(len(self.langs))
@@ -78,8 +75,16 @@ class Model:
         if not found or not self.langs:
             return "und", 0.0
         total = np.zeros(len(self.langs))
+        known, counts = [], []
         for w, n in found.items():
-            total += n * self.word(w)
+            at = self.words.get(w)
+            if at is None:
+                total += n * self.unseen(w)
+            else:
+                known.append(at)
+                counts.append(n)
+        if known:
+            total += np.array(counts, float) @ self.word_logs[known]
         odds = np.exp(total - total.max())
         return self.langs[int(total.argmax())], float(odds.max() / odds.sum())
 
