@@ -112,7 +112,8 @@ def _summed(df: DataFrame, langs: list[str], most: int) -> pd.DataFrame:
     """The `most` most frequent terms with their counts by language; ties in the order of terms."""
     by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)]
     total = sum((F.col(f"c{i}") for i in range(1, len(langs))), F.col("c0"))
-    return df.groupBy("term").agg(*by_lang).orderBy(total.desc(), "term").limit(most).toPandas()
+    chosen = df.groupBy("term").agg(*by_lang).orderBy(total.desc(), "term").limit(most)
+    return table(df.sparkSession, chosen, "terms").toPandas()  # chosen by the executors, at most `most` rows arrive
 
 
 def _logs(counts: np.ndarray) -> np.ndarray:
