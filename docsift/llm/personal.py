@@ -4,7 +4,7 @@ Base spans (email, ip, card, phone) are found by fixed patterns in one pass over
 a seed. Tokens with a digit outside base spans are candidates. The words around seeds and candidates make
 lexical patterns: the two words before, and the word before with the word after. Seeds score 1; a
 pattern's score for a kind is the mean score of its distinct instances, so candidates that nothing
-supports lower it; an instance's score is the chance that any of its patterns is right. After some rounds
+supports lower it; an unseen instance scores as its best pattern. After some rounds
 over the pattern-instance graph, patterns with enough distinct seeds and a high score mark candidates as
 further spans. Graph and scores are tables; nothing of them passes the driver.
 
@@ -146,8 +146,7 @@ def learned_patterns(seen: DataFrame, rounds: int, min_seeds: int, min_score: fl
     for _ in range(rounds):
         patterns = links.join(known, "instance").groupBy("pattern", "kind").agg((F.sum("score") / F.first("n")).alias("score"))
         patterns = table(spark, patterns, "patterns")
-        right = F.lit(1.0) - F.exp(F.sum(F.log(F.greatest(F.lit(1.0) - F.col("score"), F.lit(1e-9)))))
-        found = links.join(patterns, "pattern").groupBy("instance", "kind").agg(right.alias("score"))
+        found = links.join(patterns, "pattern").groupBy("instance", "kind").agg(F.max("score").alias("score"))
         known = found.join(seeds, ["instance", "kind"], "left_anti").unionByName(seeds.withColumn("score", F.lit(1.0)))
         known = table(spark, known, "instances")
     with_seeds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("seeds"))
@@ -156,7 +155,7 @@ def learned_patterns(seen: DataFrame, rounds: int, min_seeds: int, min_score: fl
     )
 
 
-def find_personal(docs: DataFrame, rounds: int = 3, min_seeds: int = 5, min_score: float = 0.8) -> DataFrame:
+def find_personal(docs: DataFrame, rounds: int = 3, min_seeds: int = 20, min_score: float = 0.8) -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end by kind and start); spans has the learned ones too."""
     spark = docs.sparkSession
     found = table(spark, scan(docs), "personal")
