@@ -1,6 +1,6 @@
 """Secret scanning with a random forest that removes false positives.
 
-A finding is a run of at least 16 characters of keys (letters, digits, `+/_=-`) with a digit or a change
+A finding is a run of at least 16 characters of keys (letters, digits, `+/_-`, closing `=`) with a digit or a change
 from lower to upper case, or a quoted value of at least 8 characters after `=` or `:`. Its features are
 length, character classes, transitions between classes, entropy, the share of it that dictionary words
 cover, marks of the path it comes from, and the neighbouring words. A random forest trained on labelled
@@ -36,7 +36,7 @@ NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "a
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "AIza", "eyJ")
 PLACEHOLDERS = ("example", "changeme", "placeholder", "xxxx", "your", "dummy", "test", "0000", "1234567")
 PATH_MARKS = ("test", "example", "doc", "sample", "config", "env")
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _QUOTED = re.compile(r"""[=:]\s?["']([^"'\s]{8,})["']""")
 _MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
 _WORDS = re.compile(r"[a-z]{3,}")
