@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from docsift.llm.common import table
 
 ORDERS = (5, 4, 3, 2, 1)
+CACHED = 1 << 15  # unseen words whose scores a task remembers
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
@@ -65,7 +66,7 @@ class Model:
                 if known:
                     got = self.gram_logs[known].mean(axis=0)
                     break
-            if len(self.seen) >= 1 << 18:
+            if len(self.seen) >= CACHED:
                 self.seen.clear()
             self.seen[w] = got
         return got
@@ -89,13 +90,20 @@ class Model:
         return self.langs[int(total.argmax())], float(odds.max() / odds.sum())
 
 
+def _rows(counts: Counter) -> pd.DataFrame:
+    return pd.DataFrame([(term, lang, n) for (lang, term), n in counts.items()], columns=["term", "lang", "n"])
+
+
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        counts: dict[str, Counter] = {}
+        counts: Counter = Counter()
         for text, lang in zip(batch["text"], batch["lang"]):
-            counts.setdefault(lang, Counter()).update(letter_words(text))
-        rows = [(w, lang, n) for lang, c in counts.items() for w, n in c.items()]
-        yield pd.DataFrame(rows, columns=["term", "lang", "n"])
+            for w, n in letter_words(text).items():
+                counts[lang, w] += n
+            if len(counts) > 50_000:  # keeps a task's memory small; Spark adds the parts
+                yield _rows(counts)
+                counts.clear()
+        yield _rows(counts)
 
 
 def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,8 +112,11 @@ def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for w, lang, n in zip(batch["term"], batch["lang"], batch["n"]):
             for order in ORDERS:
                 for g in grams(w, order):
-                    counts[g, lang] += n
-        yield pd.DataFrame([(g, lang, n) for (g, lang), n in counts.items()], columns=["term", "lang", "n"])
+                    counts[lang, g] += n
+            if len(counts) > 50_000:
+                yield _rows(counts)
+                counts.clear()
+        yield _rows(counts)
 
 
 def _summed(df: DataFrame, langs: list[str], most: int) -> pd.DataFrame:
