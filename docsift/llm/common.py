@@ -92,6 +92,12 @@ def words(text: str | None) -> list[str]:
     return re.findall(WORD, (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
 
+def batch_by_bytes(df: DataFrame, most: int = 4 << 20) -> DataFrame:
+    """df, in a session whose Arrow batches to Python hold at most `most` bytes: texts may be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    return df
+
+
 def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = scratch_path(spark, name)

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from docsift.llm.common import gram_hashes, sliding_min_places, table, word_hashes, word_places
+from docsift.llm.common import batch_by_bytes, gram_hashes, sliding_min_places, table, word_hashes, word_places
 
 GRAM = 5
 CANDIDATES = "doc_id {id}, n_words long, windows array<struct<first:int,len:int,window:string>>"
@@ -137,7 +137,7 @@ def candidate_windows(docs: DataFrame, items: DataFrame, span: int = 13, ship_by
     """
     spark = docs.sparkSession
     schema = CANDIDATES.format(id=dict(docs.dtypes)["doc_id"])
-    docs = docs.select("doc_id", "text")
+    docs = batch_by_bytes(docs).select("doc_id", "text")
     prints = table(spark, items.select("text").mapInPandas(_item_prints(span), "len int, print long").distinct(), "item-prints")
     lengths = [r[0] for r in prints.select("len").distinct().collect()]  # at most `span` values
     if prints.count() * 16 <= ship_bytes:

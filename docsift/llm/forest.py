@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from docsift.llm.blocks import blocked, links_frame
-from docsift.llm.common import gram_hashes, mixed, table, word_hashes, word_places
+from docsift.llm.common import batch_by_bytes, gram_hashes, mixed, table, word_hashes, word_places
 from docsift.llm.components import components
 
 WORDS = 5
@@ -120,7 +120,7 @@ def jaccard_join(
 ) -> DataFrame:
     """doc_id, class_id (smallest doc_id reachable by links), n_links (other documents linked directly)."""
     spark = docs.sparkSession
-    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    docs = batch_by_bytes(docs).where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     depth = forest_depth(trees, max_depth, similarity, recall)
     signed = table(spark, docs.mapInPandas(_signatures(trees, depth), "doc_id long, digest string, keys array<long>"), "signatures")
     nodes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(

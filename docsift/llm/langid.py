@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from docsift.llm.common import table
+from docsift.llm.common import batch_by_bytes, table
 
 ORDERS = (5, 4, 3, 2, 1)
 CACHED = 1 << 15  # unseen words whose scores a task remembers
@@ -133,7 +133,7 @@ def _logs(counts: np.ndarray) -> np.ndarray:
 
 def fit(labelled: DataFrame, sample_rows: int = 40_000, max_words: int = 200_000, max_grams: int = 200_000) -> Model:
     """Learn from rows (text, lang)."""
-    rows = labelled.where((F.col("lang") != "") & F.col("text").isNotNull()).select("text", "lang")
+    rows = batch_by_bytes(labelled).where((F.col("lang") != "") & F.col("text").isNotNull()).select("text", "lang")
     share = min(1.0, sample_rows / max(rows.count(), 1))
     sample = rows.where(F.shiftrightunsigned(F.xxhash64("text", "lang"), 11) <= int(share * (1 << 53)))
     schema = "term string, lang string, n long"
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame([shipped.value.text(t) for t in batch], columns=["lang_pred", "score"])
 
     found = F.pandas_udf(run, "lang_pred string, score double")
-    return docs.withColumn("_found", found("text")).select("*", "_found.lang_pred", "_found.score").drop("_found")
+    return batch_by_bytes(docs).withColumn("_found", found("text")).select("*", "_found.lang_pred", "_found.score").drop("_found")
 
 
 def held_out():

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from docsift.llm.common import slots, table
+from docsift.llm.common import batch_by_bytes, slots, table
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
@@ -80,7 +80,7 @@ def pieces(docs: DataFrame, ranks_path: str, json_path: str, size: int = 2048, e
                 rows += [(key, i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(cut(len(ids), size))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {PIECE}")
+    return batch_by_bytes(docs).select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {PIECE}")
 
 
 class _Lengths:

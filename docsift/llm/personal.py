@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from docsift.llm.common import table
+from docsift.llm.common import batch_by_bytes, table
 
 KINDS = ("email", "ip", "card", "phone")
 # fixed patterns of the base kinds
@@ -130,7 +130,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, mark (hash of the text), base spans, and what was seen with its contexts."""
     span = "kind:int,start:int,end:int"
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, base array<struct<{span}>>, seen array<struct<{span},instance:string,patterns:array<string>>>"
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInPandas(_scan, schema)
+    return batch_by_bytes(docs).select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInPandas(_scan, schema)
 
 
 def learned_patterns(seen: DataFrame, rounds: int, min_seeds: int, min_score: float) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from docsift.llm.common import table
+from docsift.llm.common import batch_by_bytes, table
 from docsift.session import scratch_path
 
 # fixed lists: names that announce a secret, beginnings that providers give their keys
@@ -207,7 +207,7 @@ class Scanner:
 
 def learn(docs: DataFrame, threshold: float = 0.5, sample_docs: int = 5_000, max_words: int = 20_000, **limits) -> Scanner:
     """A scanner from docs (text, path)."""
-    words = dictionary(docs, sample_docs, max_words)
+    words = dictionary(batch_by_bytes(docs), sample_docs, max_words)
     return Scanner(words, train(docs, words, **limits), threshold)
 
 
@@ -224,4 +224,4 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
             yield pd.DataFrame(rows, columns=["findings", "blanked"])
 
     found = F.pandas_udf(run, "findings array<struct<start:int,end:int,score:double>>, blanked string")
-    return docs.withColumn("_scan", found("text", "path")).select("*", "_scan.findings", "_scan.blanked").drop("_scan")
+    return batch_by_bytes(docs).withColumn("_scan", found("text", "path")).select("*", "_scan.findings", "_scan.blanked").drop("_scan")
