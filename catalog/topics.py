@@ -82,7 +82,7 @@ def token_loglik(spark, sf):
     return rows.select("doc_id", "word_id", "cnt", F.round(F.array_max("phi"), 6).alias("ll_max"), F.round(total, 5).alias("ll_sum"))
 
 
-@query("lda_estep1", f"WITH {PASS1} SELECT doc_id, k, {rnd('n + 5')} AS alpha FROM c1")
+@query("lda_estep1", f"WITH {PASS1} SELECT doc_id, k, {rnd('n + 1')} AS alpha FROM c1")
 def lda_estep1(spark, sf):
     _, docs = first_pass(spark, sf, "lda")
     return by_topic(docs, "alpha", "alpha")
@@ -119,13 +119,13 @@ def hdp_stats(spark, sf):
     return spark.createDataFrame(rows, "k int, s double, n_docs long, n_major double")
 
 
-@query("score_docs", f"""WITH {PASS1}, q1 AS (SELECT doc_id, k, {digamma('(n + 5)')} AS e_pi FROM c1),
+@query("score_docs", f"""WITH {PASS1}, q1 AS (SELECT doc_id, k, {digamma('(n + 1)')} AS e_pi FROM c1),
 x2 AS (SELECT tl.*, exp(e + e_pi - max(e + e_pi) OVER (PARTITION BY doc_id, word_id)) AS x FROM tl JOIN q1 USING (doc_id, k)),
 r2 AS (SELECT doc_id, word_id, cnt, k, x / sum(x) OVER (PARTITION BY doc_id, word_id) AS r FROM x2)
-SELECT doc_id, k, {rnd('sum(cnt * r) + 5')} AS alpha FROM r2 GROUP BY doc_id, k""")
+SELECT doc_id, k, {rnd('sum(cnt * r) + 1', 5)} AS alpha FROM r2 GROUP BY doc_id, k""")
 def score_docs(spark, sf):
     _, docs = first_pass(spark, sf, "lda", 2)
-    return by_topic(docs, "alpha", "alpha")
+    return by_topic(docs, "alpha", "alpha", 5)  # the two digammas differ in the tenth digit
 
 
 @query("doc_topics_norm", f"WITH {HDP1} SELECT doc_id, k, {rnd('alpha / sum(alpha) OVER (PARTITION BY doc_id)')} AS share FROM a1")

@@ -35,7 +35,7 @@ class TopicModel:
     vocab_size: int
     kind: str = "hdp"
     lam0: float = 0.01
-    alpha0: float = 5.0
+    alpha0: float = None  # 1 for lda, 5 for hdp
     gamma: float = 0.5
     sticks: str = "full"
     assign: str = "soft"
@@ -46,6 +46,8 @@ class TopicModel:
     matrix: np.ndarray = field(default=None, repr=False)
 
     def __post_init__(self):
+        if self.alpha0 is None:
+            self.alpha0 = 1.0 if self.kind == "lda" else 5.0
         if self.kind == "hdp" and self.u1 is None:
             self.set_beta(np.ones(self.k))
 
@@ -289,6 +291,8 @@ def topic_stats(rows: DataFrame, model: TopicModel, n_inner=10, tol=0.01, pairs=
     out = checkpointed(sum_vectors(e_step(rows, model, n_inner, tol, pairs=pairs), ["kind", "id"], wide))
     small = {r["id"]: np.array(r["vec"], float) for r in out.where("kind = 's'").collect()}
     k = model.k
+    if not small:  # no rows: all sums are zero
+        small = {i: np.zeros(wide) for i in range(8 + k)}
     pair = None
     if pairs:
         pair = np.stack([small[8 + a][:k] for a in range(k)])

@@ -13,14 +13,16 @@ from docsift.plans.topics import TopicModel
 
 def _append(spark, path, lap, info) -> None:
     row = spark.createDataFrame([(float(lap), json.dumps(info))], "lap double, info string")
-    row.write.mode("append").parquet(f"{path}/laps")
+    laps = spark.read.schema(row.schema).parquet(f"{path}/laps") if saved(spark, path) else row.limit(0)
+    if laps.where(F.col("lap") == float(lap)).isEmpty():  # a repeated step does not save its lap twice
+        row.write.mode("append").parquet(f"{path}/laps")
     row.select("lap").write.mode("overwrite").parquet(f"{path}/best")
 
 
 def save_mixture(spark: SparkSession, model: Mixture, path: str, lap: float) -> None:
     """Parameters of one lap as rows; the one-row table `best` points to the newest."""
     arrays = {**{f"w.{n}": v for n, v in model.weights.items()}, **{f"c.{n}": v for n, v in model.comps.items()}}
-    if lap == 0 or not _saved(spark, path):
+    if lap == 0 or not saved(spark, path):
         prior = {n: np.atleast_1d(v) for n, v in model.prior.items()}
         spark.createDataFrame(long_rows(prior), ST.SCHEMA).write.mode("overwrite").parquet(f"{path}/prior")
     spark.createDataFrame(long_rows(arrays), ST.SCHEMA).write.mode("overwrite").parquet(f"{path}/model/lap={float(lap)}")
@@ -29,11 +31,10 @@ def save_mixture(spark: SparkSession, model: Mixture, path: str, lap: float) ->
     _append(spark, path, lap, {**info, "prior": {n: list(np.shape(v)) for n, v in model.prior.items()}})
 
 
-def _saved(spark, path) -> bool:
-    try:
-        return spark.read.parquet(f"{path}/laps").count() > 0
-    except Exception:
-        return False
+def saved(spark: SparkSession, path: str) -> bool:
+    """Whether a model has been saved under path."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/laps")
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
 
 
 def nearest_lap(laps: DataFrame, lap: float) -> DataFrame:

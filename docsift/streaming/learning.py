@@ -14,10 +14,13 @@ def learn_topics(spark: SparkSession, stream: DataFrame, vocab: DataFrame, start
     The model is a table versioned by batch: batch b reads version b and writes version b + 1,
     so a retried micro-batch repeats the same step.
     """
-    models.save_topics(spark, start, path, 0.0)
+    if not models.saved(spark, path):  # a restart goes on with the saved model
+        models.save_topics(spark, start, path, 0.0)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        model, _ = models.load_topics(spark, path, float(batch_id))
+        model, lap = models.load_topics(spark, path, float(batch_id))
+        if lap != float(batch_id):
+            raise RuntimeError(f"version {batch_id} of the model is missing, found {lap}")
         rows = bow.bow_rows(bow.doc_term(bow.word_counts(batch), vocab))
         model, _ = O.sovb_topics_step(rows, vocab, model, n_total, O.step_size(batch_id + 1, delay, power))
         models.save_topics(spark, model, path, float(batch_id + 1))

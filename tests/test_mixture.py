@@ -139,3 +139,9 @@ def test_callbacks(blobs):
     hooks = {"onLapComplete": lambda m, p, i: seen.append(p), "onAlgorithmComplete": lambda m, p, i: seen.append("end")}
     X.fit(blobs, X.start(blobs, X.new_model(blobs, "vb", "diag", 2)), 2, callbacks=hooks)
     assert seen[0] == 0.5 and seen[-1] == "end"
+
+
+def test_merges_need_a_prior(blobs):
+    start = X.start(blobs, X.new_model(blobs, "em", "full", 3), "randexamplesbydist")
+    with pytest.raises(ValueError):
+        X.fit(blobs, start, 2, after_lap=moves.merge_lap([]))

@@ -21,7 +21,7 @@ def one(spark, expr, text):
         ("It cost $5 or 50%.", "It cost $ 5 or 50 %."),
         ("I cannot (really) don't", "I can not ( really ) do n't"),
         ("wait...what", "wait ... what"),
-        ("No.6 is AT&T's", "No. 6 is AT & T 's"),
+        ("No.6 is AT&T's", "No. 6 is AT&T 's"),
         ("a--b", "a -- b"),
     ],
 )

@@ -180,3 +180,13 @@ def test_stream_learning_keeps_one_version_per_batch(spark, tmp_path):
     model = learning.learn_topics(spark, stream, vocab, start, 40, str(tmp_path / "model"))
     laps = sorted(r.lap for r in spark.read.parquet(str(tmp_path / "model" / "laps")).collect())
     assert laps == [0.0, 1.0, 2.0] and P.as_matrix(model).sum() > 100
+    again = learning.learn_topics(spark, stream, vocab, start, 40, str(tmp_path / "model"))
+    assert np.array_equal(P.as_matrix(again), P.as_matrix(model))  # nothing new: the learned model, not the start
+
+
+def test_no_rows_give_zero_sums(spark, bars):
+    vocab, triples, rows, _ = bars
+    model = P.new_model(vocab, triples, 3, "randexamples", 1, kind="lda")
+    ss = P.topic_stats(rows.where(F.lit(False)), model, 1)
+    assert ss.counts.count() == 0 and ss.n_docs == 0 and not ss.s.any()
+    assert model.alpha0 == 1.0 and P.new_model(vocab, triples, 3, "randexamples", 1).alpha0 == 5.0
