@@ -108,7 +108,7 @@ def confusion(spark, sf):
 @query("svm_boundary")
 def svm_boundary(spark, sf):
     x = feats(spark, sf)
-    return B.classify_svm(x, B.train_svm(x, max_iter=10, size=1 << 15))
+    return B.classify_svm(x, *B.train_svm(x))
 
 
 @query("fact_classifier")
@@ -117,5 +117,5 @@ def fact_classifier(spark, sf):
     rows = docs(spark, sf).join(labels, "doc_id").select(
         F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("words"), F.col("quality").alias("label")
     )
-    _, scored = B.train_fact_classifier(rows, max_iter=10, size=1 << 14)
+    _, scored = B.train_fact_classifier(rows)
     return B.confusion(scored)

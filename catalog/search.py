@@ -41,10 +41,11 @@ def target_topics(spark, sf):
 
 
 @query("search_docs", f"""WITH {SCORES}, rk AS (SELECT doc_id, 'doc-' || doc_id AS name, score, row_number() OVER (ORDER BY round(score, 9) NULLS LAST, doc_id) - 1 AS rank FROM documents LEFT JOIN sc USING (doc_id))
-SELECT rank, doc_id, name, {rnd('score')} AS score FROM rk WHERE rank < floor((SELECT count(*) FROM documents) * 0.2)""")
+SELECT rank, doc_id, name, {rnd('round(score, 9)')} AS score FROM rk WHERE rank < floor((SELECT count(*) FROM documents) * 0.2)""")
 def search_docs(spark, sf):
     triples, model, _, mix = target(spark, sf)
     scores = V.search_scores(triples, model.topics, mix, K)
-    best = V.search_docs(docs(spark, sf), scores, 20.0)
+    # rounded before ranking: the two engines add up in another order, and their ties must be the same
+    best = V.search_docs(docs(spark, sf), scores.withColumn("score", F.round("score", 9)), 20.0)
     name = F.concat(F.lit("doc-"), F.col("doc_id"))
     return best.select("rank", "doc_id", name.alias("name"), F.round("score", 6).alias("score"))

@@ -28,7 +28,10 @@ fr AS (SELECT doc_id, cast(row_number() OVER (PARTITION BY doc_id ORDER BY g) -
   cast(contains(string_split(orig, ' ')[-1], '<S>') AS INTEGER) AS label FROM f1 WHERE orig IS NOT NULL),
 fn AS (SELECT *, lead(tokenized) OVER (PARTITION BY doc_id ORDER BY pos) AS next_tokenized FROM fr)"""
 
-INDEX = VOCAB + ",\n" + FRAG + f""",
+#: The same fragments of texts whose lines are joined with spaces, as the sentence index takes them.
+JOINED = FRAG.replace("string_split(coalesce(text, ''), chr(10))", "[replace(coalesce(text, ''), chr(10), ' ')]")
+
+INDEX = VOCAB + ",\n" + JOINED + f""",
 sw AS (SELECT doc_id, pos, orig, unnest(regexp_extract_all(orig, '[A-Za-z]+['']*[A-Za-z]*')) AS word
   FROM fr WHERE length(orig) <= 200),
 sb AS (SELECT doc_id, pos, orig, word_id, count(*) AS cnt FROM sw JOIN vocab USING (word)
@@ -50,7 +53,12 @@ def index(spark, sf):
     """Vocabulary, sents and sent_term of the documents table, by the boundary rule."""
     d = docs(spark, sf)
     words = bow.corpus(d)[0]
-    return (words, *S.sentence_index(S.rule_sentences(d), words))
+    return (words, *S.sentence_index(S.rule_sentences(S.unwrapped(d)), words))
+
+
+def to_nine(metric):
+    """The metric rounded before ranking: the two engines add up in another order, and their ties must be the same."""
+    return lambda *tables: metric(*tables).withColumn("score", F.round("score", 9))
 
 
 def pick(sents, n, seed):
@@ -120,11 +128,11 @@ def summary_delete(spark, sf):
 nm AS (SELECT sqrt(cast(sum(cnt * cnt) AS DOUBLE)) AS norm FROM st SEMI JOIN summary USING (doc_id, sent_ix)),
 sc AS (SELECT doc_id, sent_ix, -cast(sum(cnt * coalesce(q, 0)) AS DOUBLE) / (sqrt(cast(sum(cnt * cnt) AS DOUBLE)) * (SELECT norm FROM nm)) + 0.0 AS score
   FROM st LEFT JOIN qb USING (word_id) GROUP BY doc_id, sent_ix)
-SELECT doc_id, sent_ix, sentence, {rnd('score')} AS score FROM sc JOIN sents USING (doc_id, sent_ix)
+SELECT doc_id, sent_ix, sentence, {rnd('round(score, 9)')} AS score FROM sc JOIN sents USING (doc_id, sent_ix)
 ANTI JOIN summary USING (doc_id, sent_ix) ORDER BY round(score, 9), doc_id, sent_ix LIMIT 200""")
 def similar_sents(spark, sf):
     words, sents, terms = index(spark, sf)
-    got = M.top_sentences(sents, terms, pick(sents, 5, 1), M.similarity, words)
+    got = M.top_sentences(sents, terms, pick(sents, 5, 1), to_nine(M.similarity), words)
     return got.select("doc_id", "sent_ix", "sentence", F.round("score", 6).alias("score"))
 
 
@@ -136,11 +144,11 @@ allw AS (SELECT doc_id, sent_ix, word_id, cnt FROM st
 m AS (SELECT doc_id, sent_ix, word_id, cast(sum(cnt) AS DOUBLE) AS c FROM allw JOIN cand USING (doc_id, sent_ix) GROUP BY ALL),
 t AS (SELECT doc_id, sent_ix, sum(c) AS t FROM m GROUP BY ALL),
 sc AS (SELECT doc_id, sent_ix, sum(c / t * ln(c / t / u)) AS score FROM m JOIN t USING (doc_id, sent_ix) JOIN u USING (word_id) GROUP BY ALL)
-SELECT doc_id, sent_ix, sentence, {rnd('score')} AS score FROM sc JOIN sents USING (doc_id, sent_ix)
+SELECT doc_id, sent_ix, sentence, {rnd('round(score, 9)')} AS score FROM sc JOIN sents USING (doc_id, sent_ix)
 ORDER BY round(score, 9), doc_id, sent_ix LIMIT 200""")
 def variety_sents(spark, sf):
     words, sents, terms = index(spark, sf)
-    got = M.top_sentences(sents, terms, pick(sents, 5, 1), M.divergence, words)
+    got = M.top_sentences(sents, terms, pick(sents, 5, 1), to_nine(M.divergence), words)
     return got.select("doc_id", "sent_ix", "sentence", F.round("score", 6).alias("score"))
 
 

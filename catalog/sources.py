@@ -42,6 +42,8 @@ def ingest_archive(spark, sf):
 
 @query("stream_word_counts", f"WITH {KEPT} SELECT word, df, cf FROM freq")
 def stream_word_counts(spark, sf):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    """The documents arrive in four files, one micro-batch each."""
+    path = scratch_path(spark, "arrivals")
+    docs(spark, sf).repartition(4, "doc_id").write.parquet(path)
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(path)
     return counts.run_available(spark, counts.word_totals(stream.select("doc_id", "text")), scratch_path(spark, "stream"))

@@ -23,10 +23,20 @@ def hash_rank(df: DataFrame, key: str, seed, out: str = "rank", digits: int = 3)
     1/4096 of the table whatever the data looks like. The table of bucket sizes has at
     most 16**digits rows, hence the broadcast.
     """
+    return _hash_rank(df, key, seed, out, digits, F.lit(True))
+
+
+def first_keys(df: DataFrame, key: str, seed, n: int, digits: int = 3) -> DataFrame:
+    """The first n keys in md5 order; buckets beyond the cut are dropped before anything is sorted."""
+    ranked = _hash_rank(df.select(key), key, seed, "_rank", digits, F.col("_start") < n)
+    return ranked.where(F.col("_rank") < n).select(key)
+
+
+def _hash_rank(df, key, seed, out, digits, wanted) -> DataFrame:
     keyed = df.withColumn("_h", hash_key(seed, key)).withColumn("_b", F.substring("_h", 1, digits))
     sizes = keyed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")).where(wanted)
     within = F.row_number().over(W.partitionBy("_b").orderBy("_h", key)) - 1
     return (
         keyed.join(F.broadcast(starts), "_b")

@@ -62,6 +62,11 @@ def squeeze(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, BLANK + "+", " "), F.lit(" "))
 
 
+def joined_lines(text: Column) -> Column:
+    """Lines joined with spaces, so that a wrapped or blank line does not end a sentence."""
+    return F.translate(text, "\n", " ")
+
+
 def clean_lines(text: Column, separator: str = "\n") -> Column:
     """Lines stripped, empty ones dropped, joined again."""
     stripped = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", ""))

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docsift.functions import text as T
 from docsift.operators import sentences as S
+from docsift.operators.vectors import index_of, sparse_vectors
 from docsift.session import checkpointed
 
 ALPHA = "^[A-Za-z]+$"
@@ -120,28 +121,37 @@ def squash(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
-def train_svm(feats: DataFrame, c: float = 1.0, max_iter: int = 20, size: int = 1 << 18):
-    """Linear SVM on feature counts; the regulariser follows from C and the number of rows."""
+def train_svm(feats: DataFrame, c: float = 1.0, max_iter: int = 100, tol: float = 1e-4):
+    """(model, index): linear SVM on the features a fragment has; the regulariser follows from C and the rows.
+
+    Every feature has its own column, named by the table `index`.
+    """
     from pyspark.ml.classification import LinearSVC
 
-    data = checkpointed(_vectors(feats, size).select("x", F.col("label").cast("double").alias("label")))
+    index = checkpointed(index_of(feats.select(F.explode("features").alias("feature")), "feature"))
+    label = feats.select("doc_id", "pos", F.col("label").cast("double").alias("label"))
+    data = _vectors(feats, index, index.count()).join(label, ["doc_id", "pos"])
     n = data.count()
-    return LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), featuresCol="x", labelCol="label").fit(data)
+    model = LinearSVC(maxIter=max_iter, tol=tol, regParam=1.0 / (c * max(n, 1)), featuresCol="x", labelCol="label").fit(data)
+    return model, index
 
 
-def classify_svm(feats: DataFrame, model) -> DataFrame:
-    """(doc_id, pos, pred): margin through the logistic function."""
+def classify_svm(feats: DataFrame, model, index: DataFrame) -> DataFrame:
+    """(doc_id, pos, pred): margin through the logistic function; features the model lacks are skipped."""
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(_vectors(feats, model.numFeatures))
+    scored = model.transform(_vectors(feats, index, model.numFeatures))
     return scored.select("doc_id", "pos", squash(vector_to_array("rawPrediction")[1]).alias("pred"))
 
 
-def _vectors(feats: DataFrame, size: int) -> DataFrame:
-    from pyspark.ml.feature import HashingTF
-
-    # hashing needs no dictionary on the driver, whatever the number of features
-    return HashingTF(inputCol="features", outputCol="x", numFeatures=size, binary=True).transform(feats)
+def _vectors(feats: DataFrame, index: DataFrame, size: int) -> DataFrame:
+    """(doc_id, pos, x): one where a fragment has the feature, also for fragments without any known one."""
+    cells = feats.select("doc_id", "pos", F.explode(F.array_distinct("features")).alias("feature")).join(index, "feature")
+    one = F.lit(1.0)
+    cells = cells.select("doc_id", "pos", "ix", one.alias("v")).unionByName(
+        feats.select("doc_id", "pos", F.lit(None).cast("long").alias("ix"), F.lit(None).cast("double").alias("v"))
+    )
+    return sparse_vectors(cells, ["doc_id", "pos"], "ix", F.col("v"), size)
 
 
 def confusion(rows: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
@@ -155,24 +165,27 @@ def model_sentences(frags: DataFrame, preds: DataFrame, threshold: float = 0.5)
     return S.segment(joined, F.col("pred") > threshold)
 
 
-def train_fact_classifier(rows: DataFrame, weight: float = 10.0, share: float = 0.8, max_iter: int = 30, size: int = 1 << 18):
-    """Linear SVM on bags of words with a heavier positive class.
+def train_fact_classifier(rows: DataFrame, weight: float = 10.0, share: float = 0.8, max_iter: int = 100, tol: float = 1e-4):
+    """Linear SVM on bags of words with a heavier positive class; every word has its own column.
 
     Columns: id, words (array), label 0/1. The first `share` of rows in id order train, the rest
     are scored: returns (model, scored test rows with label and predicted).
     """
     from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.feature import HashingTF
 
     from docsift.functions.ranking import order_rank
 
-    x = HashingTF(inputCol="words", outputCol="x", numFeatures=size).transform(order_rank(rows, ["id"]))
-    x = x.withColumn("label", F.col("label").cast("double")).withColumn(
-        "weight", F.when(F.col("label") == 1, weight).otherwise(1.0)
-    )
-    x = checkpointed(x.select("id", "x", "label", "weight", "rank"))
-    cut = int(x.count() * share)
-    model = LinearSVC(maxIter=max_iter, regParam=1.0 / max(cut, 1), featuresCol="x", weightCol="weight").fit(
+    rows = checkpointed(rows.select("id", "words", F.col("label").cast("double").alias("label")))
+    n = rows.count()
+    ranks = order_rank(rows.select("id", "label"), ["id"])
+    counts = rows.select("id", F.explode("words").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("v"))
+    index = checkpointed(index_of(counts, "word"))
+    none = rows.select("id", F.lit(None).cast("long").alias("ix"), F.lit(None).cast("long").alias("v"))
+    cells = counts.join(index, "word").select("id", "ix", "v").unionByName(none)
+    x = sparse_vectors(cells, ["id"], "ix", F.col("v"), index.count()).join(ranks, "id")
+    x = x.withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
+    cut = int(n * share)
+    model = LinearSVC(maxIter=max_iter, tol=tol, regParam=1.0 / max(cut, 1), featuresCol="x", weightCol="weight").fit(
         x.where(F.col("rank") < cut)
     )
     scored = model.transform(x.where(F.col("rank") >= cut))

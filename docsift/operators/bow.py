@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docsift.functions import text as T
 from docsift.functions.ranking import hash_rank
 from docsift.functions.stopwords import ENGLISH
+from docsift.session import written
 
 
 def tokens(docs: DataFrame, lowercase: bool = False) -> DataFrame:
@@ -65,8 +66,12 @@ def doc_term(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def corpus(docs: DataFrame, stopwords=ENGLISH, min_doc: int = 2, max_share: float = 0.8, lowercase: bool = False):
-    """The vocabulary and the triples of a document table."""
-    counts = word_counts(docs, stopwords, lowercase)
+    """The vocabulary and the triples of a document table.
+
+    The counts are written once: the texts are read and tokenized once, and the vocabulary reads back
+    no more than words and counts.
+    """
+    counts = written(word_counts(docs, stopwords, lowercase), "counts")
     vocab = vocabulary(kept_words(counts, docs, min_doc, max_share))
     return vocab, doc_term(counts, vocab)
 

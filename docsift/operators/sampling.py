@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from docsift.functions.ranking import hash_rank, hash_uniform, range_slices
+from docsift.functions.ranking import first_keys, hash_rank, hash_uniform, range_slices
 
 
 def minibatches(items: DataFrame, key: str, n_batch: int, seed=0) -> DataFrame:
@@ -24,8 +24,8 @@ def batch_order(batches: DataFrame, n_lap: int, seed=0) -> DataFrame:
 
 
 def sample(items: DataFrame, key: str, n: int, seed=0) -> DataFrame:
-    """n rows chosen uniformly; stays distributed however large n is."""
-    return hash_rank(items, key, seed).where(F.col("rank") < n).drop("rank")
+    """The rows of n keys chosen uniformly. Only keys are ranked; the rows are then looked up by theirs."""
+    return items.join(first_keys(items, key, seed, n), key, "left_semi")
 
 
 def targeted_sample(shares: DataFrame, key: str, threshold: float, n: int, seed=0) -> DataFrame:

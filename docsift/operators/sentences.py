@@ -75,6 +75,11 @@ def segment(frags: DataFrame, boundary: Column) -> DataFrame:
     )
 
 
+def unwrapped(docs: DataFrame) -> DataFrame:
+    """Documents with the lines of each text joined."""
+    return docs.withColumn("text", T.joined_lines(F.col("text")))
+
+
 def rule_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, sent_no, sentence) when every candidate is a boundary: no shuffle at all."""
     return docs.select("doc_id", F.posexplode(T.rule_sentences(F.col("text"))).alias("sent_no", "sentence"))
@@ -90,9 +95,11 @@ def sentence_index(sentences: DataFrame, vocab: DataFrame, stopwords=ENGLISH, li
 
     sents(doc_id, sent_ix, sentence): short sentences with at least one vocabulary word;
     sent_ix counts the kept sentences of a document. sent_term(doc_id, sent_ix, word_id, cnt).
-    Only words and counts are shuffled; the text joins again by key.
+    Only words and counts are shuffled; the text joins again by key. Both tables are written, so a
+    search reads them and splits nothing. The application joins the lines of a text before it
+    splits: see unwrapped.
     """
-    kept = short(sentences, limit)
+    kept = checkpointed(short(sentences, limit))
     counts = (
         kept.select("doc_id", "sent_no", F.explode(T.content_tokens(F.col("sentence"), stopwords)).alias("word"))
         .join(vocab.select("word", "word_id"), "word")
@@ -104,7 +111,7 @@ def sentence_index(sentences: DataFrame, vocab: DataFrame, stopwords=ENGLISH, li
     terms = checkpointed(counts.withColumn("sent_ix", ix))
     keys = terms.select("doc_id", "sent_no", "sent_ix").distinct()
     sents = kept.join(keys, ["doc_id", "sent_no"]).select("doc_id", "sent_ix", "sentence")
-    return sents, terms.select("doc_id", "sent_ix", "word_id", "cnt")
+    return checkpointed(sents), terms.select("doc_id", "sent_ix", "word_id", "cnt")
 
 
 def sentence_maps(sent_term: DataFrame) -> DataFrame:

@@ -68,12 +68,12 @@ def top_sentences(
     query: DataFrame | None = None,
     n: int = 200,
 ) -> DataFrame:
-    """The n unused sentences with the lowest metric (to 9 decimals); ties by document and position.
+    """The n unused sentences with the lowest metric ; ties by document and position.
 
     `metric(sent_term, query, vocab)` is pluggable and returns (doc_id, sent_ix, score).
     """
     scored = metric(sent_term, summary if query is None else query, vocab)
-    best = unused(scored, summary).orderBy(F.round("score", 9).asc_nulls_last(), *KEY).limit(n)
+    best = unused(scored, summary).orderBy(F.asc_nulls_last("score"), *KEY).limit(n)
     return sents.join(best, KEY)
 
 

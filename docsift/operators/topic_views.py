@@ -83,7 +83,7 @@ def search_docs(docs: DataFrame, scores: DataFrame, percent: float) -> DataFrame
     """
     n = docs.select(F.floor(F.count(F.lit(1)) * F.lit(percent / 100.0))).scalar()
     rows = docs.select("doc_id").join(scores, "doc_id", "left")
-    rows = rows.withColumn("key", F.coalesce(F.round("score", 9), F.lit(float("inf"))))
+    rows = rows.withColumn("key", F.coalesce("score", F.lit(float("inf"))))
     return order_rank(rows, ["key", "doc_id"]).where(F.col("rank") < n).drop("key")
 
 
@@ -111,11 +111,15 @@ def doc_model_kl(fit: DataFrame) -> DataFrame:
     return fit.groupBy("doc_id").agg(F.sum(term).alias("kl"))
 
 
-def missing_words(fit: DataFrame, min_docs: int, keep: Column) -> DataFrame:
-    """(word_id, n_docs, score, rank): words the model explains worst, the first `keep` of them."""
+def word_misfit(fit: DataFrame) -> DataFrame:
+    """(word_id, n_docs, score): documents that hold more of a word than the model says, and how much more."""
     miss = F.greatest(F.col("emp") - F.col("mod"), F.lit(0.0))
-    words = fit.groupBy("word_id").agg(F.sum((miss > 0).cast("long")).alias("n_docs"), F.sum(miss).alias("score"))
-    ranked = words.where(F.col("n_docs") >= min_docs).withColumn("key", -F.round("score", 9))
+    return fit.groupBy("word_id").agg(F.sum((miss > 0).cast("long")).alias("n_docs"), F.sum(miss).alias("score"))
+
+
+def missing_words(misfit: DataFrame, min_docs: int, keep: Column) -> DataFrame:
+    """(word_id, n_docs, score, rank): words the model explains worst, the first `keep` of them."""
+    ranked = misfit.where(F.col("n_docs") >= min_docs).withColumn("key", -F.col("score"))
     return order_rank(ranked, ["key", "word_id"]).where(F.col("rank") < keep).drop("key")
 
 

@@ -94,6 +94,31 @@ def expected_log_pdf(obs: str, q: dict, x: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
+def expected_sum(obs: str, q: dict, ss: dict) -> np.ndarray:
+    """Per component: the expected log density summed over rows with these statistics, 2 pi left out."""
+    n, x, xx = ss["N"], ss["x"], ss["xx"]
+    d = x.shape[1]
+    if obs == "diag":
+        rate, m = q["a"] / q["b"], q["m"]
+        const = 0.5 * (np_digamma(q["a"]) - np.log(q["b"])).sum(1) - 0.5 * d / q["kappa"]
+        return n * const - 0.5 * (rate * (xx - 2.0 * m * x + n[:, None] * m * m)).sum(1)
+    m = q["m"] if "m" in q else np.zeros_like(x)
+    cross = m[:, :, None] * x[:, None, :]
+    spread = xx - cross - cross.transpose(0, 2, 1) + n[:, None, None] * m[:, :, None] * m[:, None, :]
+    log_det = np.array([np_multi(np_digamma, nu / 2.0, d) for nu in q["nu"]]) + d * np.log(2.0) - np.linalg.slogdet(q["winv"])[1]
+    near = q["nu"] * np.trace(np.linalg.solve(q["winv"], spread), axis1=1, axis2=2)
+    return 0.5 * (n * log_det - near - n * (d / q["kappa"] if "kappa" in q else 0.0))
+
+
+def held(obs: str, pri: dict, q: dict) -> dict:
+    """The statistics to which these parameters would be the posterior."""
+    a, b = natural(obs, q), natural(obs, {f: np.asarray(v, float) for f, v in pri.items()})
+    if obs == "zero_mean":
+        return {"N": a["nu"] - b["nu"], "x": np.zeros(a["winv"].shape[:2]), "xx": a["winv"] - b["winv"]}
+    xx = 2.0 * (a["b"] - b["b"]) if obs == "diag" else a["winv"] - b["winv"]
+    return {"N": a["kappa"] - b["kappa"], "x": a["km"] - b["km"], "xx": xx}
+
+
 def log_norm(obs: str, q: dict) -> np.ndarray:
     """Log normaliser of each posterior (or of a prior given as one component)."""
     if obs == "diag":

@@ -92,6 +92,23 @@ class Mixture:
         return float(data - 0.5 * n.sum() * self.dim * G.LOG_2PI + self.weight_bound(n) + entropy)
 
 
+    def bound(self, ss: dict) -> float:
+        """Bound of the model as it stands on data with these statistics.
+
+        The bound at the statistics that the parameters hold, plus what the others add under them.
+        """
+        if self.alloc == "em":
+            return float(ss["evidence"])
+        own = G.held(self.obs, self.prior, self.comps)
+        more = {f: ss[f] - own[f] for f in ("N", "x", "xx")}
+        n = self.weights["alpha"] - self.alpha0 if self.alloc == "vb" else self.weights["a"] - 1.0
+        held = G.log_norm(self.obs, self.comps).sum() - self.k * G.log_norm(self.obs, self.prior)
+        data = held + G.expected_sum(self.obs, self.comps, more).sum() - 0.5 * ss["N"].sum() * self.dim * G.LOG_2PI
+        weights = self.weight_bound(n) + float(((ss["N"] - n) * self.log_weights()).sum())
+        entropy = 0.0 if self.alloc == "dp_hard" else -ss["rlogr"].sum()
+        return float(data + weights + entropy)
+
+
 def shapes(model: Mixture, pairs: bool = False) -> dict:
     k, d = model.k, model.dim
     out = {"N": (k,), "x": (k, d), "xx": (k, d) if model.obs == "diag" else (k, d, d), "rlogr": (k,), "evidence": (), "rows": ()}

@@ -1,8 +1,8 @@
 """Topic models: LDA and the hierarchical Dirichlet process, by variational coordinate ascent.
 
 Documents are independent given the topics, so the E step is a `mapInPandas` over document
-rows. It sends out per-chunk sums by word, already added up over the chunk's documents; a
-groupBy adds the chunks. The topic table stays a DataFrame (word_id, lam array of K). When
+rows. It sends out sums by word, already added up over the task's documents (or a chunk of them,
+if the topic table is large); a groupBy adds them. The topic table stays a DataFrame (word_id, lam array of K). When
 V x K doubles fit under `limit_bytes` it is shipped to the tasks as an array; beyond that
 its rows are joined to the triples instead.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docsift.functions import special as SP
 from docsift.functions.ranking import hash_key, hash_uniform
 from docsift.operators import bow
+from docsift.operators.vectors import sparse_vectors
 from docsift.plans.mixture import same_figures, xlogx
 from docsift.session import checkpointed
 from docsift.sources.tables import spread
@@ -215,6 +216,8 @@ def e_step(rows: DataFrame, model: TopicModel, n_inner=10, tol=0.01, docs=False,
         source = _rows_with_phi(rows, model)
 
     def run(batches):
+        # a table small enough to ship has sums small enough to keep until the task ends
+        whole = np.zeros(table.shape) if sums and table is not None else None
         for chunk in _chunks(batches):
             ids = np.concatenate(chunk["word_ids"].to_numpy())
             counts = np.concatenate(chunk["counts"].to_numpy()).astype(float)
@@ -227,12 +230,17 @@ def e_step(rows: DataFrame, model: TopicModel, n_inner=10, tol=0.01, docs=False,
                 out.append(pd.DataFrame({"kind": "d", "id": chunk["doc_id"].to_numpy(), "vec": list(alpha)}))
             if sums:
                 words, inv = np.unique(ids, return_inverse=True)
-                by_word = np.zeros((len(words), k))
-                np.add.at(by_word, inv, mass)
-                out.append(pd.DataFrame({"kind": "w", "id": words.astype("int64"), "vec": list(by_word)}))
+                by_word = np.stack([np.bincount(inv, mass[:, j], len(words)) for j in range(k)], 1)
+                if whole is not None:
+                    whole[words] += by_word
+                else:
+                    out.append(pd.DataFrame({"kind": "w", "id": words.astype("int64"), "vec": list(by_word)}))
                 pad = [np.pad(s, (0, wide - len(s))) if len(s) < wide else s for s in _scalars(alpha, e_pi, mass, counts, starts, k, assign, pairs)]
                 out.append(pd.DataFrame({"kind": "s", "id": np.arange(len(pad)), "vec": pad}))
             yield pd.concat(out)
+        if whole is not None:
+            seen = np.flatnonzero(whole.any(1))
+            yield pd.DataFrame({"kind": "w", "id": seen.astype("int64"), "vec": list(whole[seen])})
 
     return source.mapInPandas(run, OUT)
 
@@ -346,6 +354,28 @@ def alloc_bound(model: TopicModel, ss: TopicStats) -> float:
     return float(pi + v + ss.z - ss.entropy.sum() + ss.token)
 
 
+def standing_bound(model: TopicModel, ss: TopicStats, amp: float = 1.0) -> float:
+    """Bound of the model as it stands on a corpus with `amp` times these sums."""
+    k = model.k
+    rows = model.topics.join(e_log_phi(model.topics, k), "word_id").join(ss.counts, "word_id", "left")
+    seen = [F.coalesce(c, F.lit(0.0)) for c in entries(F.col("vec"), k)]
+    parts = zip(seen, entries("lam", k), entries("phi", k))
+    gap = sum(((amp * c + model.lam0 - lam) * phi for c, lam, phi in parts), F.lit(0.0))
+    data = dirichlet_bound(model).sum() + (rows.agg(F.sum(gap)).first()[0] or 0.0)
+    scaled = TopicStats(ss.counts, *[getattr(ss, f) * amp for f in ("s", "major", "entropy", "z", "q_pi", "token", "n_docs", "n_tokens")])
+    return float(data) + alloc_bound(model, scaled)
+
+
+def stirling_rest(u: np.ndarray):
+    """ln Gamma(u) above (u - 1/2) ln u - u + ln(2 pi) / 2, and ln u - 1 / 2u above digamma(u)."""
+    small, large = np.where(u.real < 50, u, 50.0), np.where(u.real < 50, 50.0, u)
+    log, inv = np.log(small), 1.0 / (large * large)
+    gamma = SP.np_lgamma(small) - (small - 0.5) * log + small - SP.HALF_LOG_2PI
+    psi = log - 0.5 / small - SP.np_digamma(small)
+    far = (1 / 12 - inv * (1 / 360 - inv / 1260)) / large, inv * (1 / 12 - inv * (1 / 120 - inv / 252))
+    return np.where(u.real < 50, gamma, far[0]), np.where(u.real < 50, psi, far[1])
+
+
 def stick_objective(c: np.ndarray, s: np.ndarray, d: float, alpha0: float, gamma: float, point: bool = False):
     """Part of the bound that depends on the sticks, per document.
 
@@ -359,33 +389,65 @@ def stick_objective(c: np.ndarray, s: np.ndarray, d: float, alpha0: float, gamma
         lv, l1 = np.log(v), np.log(1.0 - v)
         own = ((alpha0 - 1.0) * l1).sum(-1)
     else:
-        both = SP.np_digamma(u1 + u0)
-        lv, l1 = SP.np_digamma(u1) - both, SP.np_digamma(u0) - both
-        own = (SP.np_lgamma(u1) + SP.np_lgamma(u0) - SP.np_lgamma(u1 + u0) + (1 - u1) * lv + (alpha0 - u0) * l1).sum(-1)
+        # written around Stirling's terms, which cancel: u reaches the number of documents
+        both, w = u1 + u0, u0 / (u1 + u0)
+        (g1, t1), (g0, t0), (gb, tb) = (stirling_rest(u) for u in (u1, u0, both))
+        lv = np.log(v) - 0.5 / u1 + 0.5 / both - t1 + tb
+        l1 = np.log(w) - 0.5 / u0 + 0.5 / both - t0 + tb
+        entropy = SP.HALF_LOG_2PI + 0.5 - 0.5 * (np.log(v) + np.log(w) + np.log(both))
+        entropy = entropy + g1 + g0 - gb + u1 * t1 + u0 * t0 - both * tb
+        own = (entropy + lv + alpha0 * l1).sum(-1)
     mass = ((gamma * weights_of(v) - 1.0) * s / d).sum(-1)
     return lv.sum(-1) + (left * l1).sum(-1) + mass + own / d
 
 
-def update_sticks(model: TopicModel, s: np.ndarray, d: float, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient ascent with back-tracking on 2K numbers; derivatives by complex steps."""
+def update_sticks(model: TopicModel, s: np.ndarray, d: float, steps: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    """Quasi-Newton ascent on the 2K logs of u1 and u0, run until it converges; raises if it does not.
+
+    Derivatives are complex steps. The end is a predicted gain below the precision of the objective, found
+    twice: once with the gathered curvature and once more after a fresh start of it.
+    """
     args = (s, max(d, 1.0), model.alpha0, model.gamma, model.sticks == "point")
-    c = np.log(np.concatenate([model.u1, model.u0]))
-    best = stick_objective(c, *args)
-    size = 1.0
+    eye = np.eye(2 * model.k)
+
+    def slope(c):
+        return stick_objective(c + 1e-20j * eye, *args).imag / 1e-20
+
+    u1, u0 = model.u1, model.u0
+    if model.sticks == "full":
+        # the totals u1 + u0 that are best for the present fractions and many documents
+        total = (1.0 + d * (u0 / u1 + (model.k - np.arange(model.k)) * u1 / u0)) / (u1 + u0)
+        u1, u0 = total * u1, total * u0
+    c = np.log(np.concatenate([u1, u0]))
+    best, grad, curve, fresh = stick_objective(c, *args), slope(c), eye, True
     for _ in range(steps):
-        grad = stick_objective(c + 1e-20j * np.eye(len(c)), *args).imag / 1e-20
-        while size > 1e-10:
-            trial = np.clip(c + size * grad, -15.0, 15.0)
-            value = stick_objective(trial, *args)
-            if value > best:
+        way = curve @ grad
+        gain = float(grad @ way)
+        size, value = 1.0, -np.inf
+        if gain > 1e-14 * abs(best):
+            size = min(1.0, 1.0 / np.abs(way).max())  # no entry of u moves by more than a factor e
+            while size > 1e-12:
+                trial = c + size * way
+                value = stick_objective(trial, *args)
+                if value > best + 1e-4 * size * gain or (value > best and size < 1e-6):
+                    break
+                size *= 0.5
+        if not value > best:
+            if fresh:
                 break
-            size *= 0.5
-        else:
-            break
-        done = value - best < 1e-9 * abs(best)
-        c, best, size = trial, value, size * 4.0
-        if done:
-            break
+            curve, fresh = eye, True
+            continue
+        new = slope(trial)
+        step, bend = trial - c, grad - new
+        scale = float(step @ bend)
+        if scale > 1e-14 * np.linalg.norm(step) * np.linalg.norm(bend):
+            if fresh:  # the first pair sets the scale of the curvature
+                curve = eye * (scale / float(bend @ bend))
+            left = eye - np.outer(step, bend) / scale
+            curve, fresh = left @ curve @ left.T + np.outer(step, step) / scale, False
+        c, best, grad = trial, value, new
+    else:
+        raise RuntimeError(f"stick weights did not converge in {steps} steps")
     return np.exp(c[: model.k]), np.exp(c[model.k :])
 
 
@@ -429,21 +491,44 @@ def soft_partition_topics(triples: DataFrame, k: int, seed=0) -> DataFrame:
     return sum_vectors(rows, ["word_id"], k)
 
 
-def cluster_topics(triples: DataFrame, k: int, seed=0, max_iter=10, dims=1 << 12) -> DataFrame:
-    """(word_id, vec): counts of k clusters of documents (k-means on hashed word counts)."""
+def _one_per_document(triples: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """(word_id, vec): word counts summed over the documents of each label (doc_id, k)."""
+    parts = [F.sum(F.when(F.col("k") == n, F.col("cnt")).otherwise(0)).cast("double") for n in range(k)]
+    return triples.join(labels, "doc_id").groupBy("word_id").agg(F.array(*parts).alias("vec"))
+
+
+def cluster_topics(triples: DataFrame, k: int, seed=0, max_iter=10) -> DataFrame:
+    """(word_id, vec): counts of k clusters of documents (k-means on word counts, a column per word id)."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import HashingTF
 
-    repeated = F.transform(
-        F.arrays_zip("word_ids", "counts"),
-        lambda r: F.array_repeat(r["word_ids"].cast("string"), r["counts"].cast("int")),
-    )
-    words = bow.bow_rows(triples).select("doc_id", F.flatten(repeated).alias("words"))
-    hashed = HashingTF(inputCol="words", outputCol="features", numFeatures=dims).transform(words)
-    docs = checkpointed(hashed.select("doc_id", "features"))
-    z = KMeans(k=k, seed=seed, maxIter=max_iter).fit(docs).transform(docs).select("doc_id", F.col("prediction").alias("k"))
-    parts = [F.sum(F.when(F.col("k") == n, F.col("cnt")).otherwise(0)).cast("double") for n in range(k)]
-    return triples.join(z, "doc_id").groupBy("word_id").agg(F.array(*parts).alias("vec"))
+    docs = sparse_vectors(triples, ["doc_id"], "word_id", F.col("cnt"))
+    z = KMeans(featuresCol="x", k=k, seed=seed, maxIter=max_iter).fit(docs).transform(docs)
+    return _one_per_document(triples, z.select("doc_id", F.col("prediction").alias("k")), k)
+
+
+def plusplus_topics(triples: DataFrame, k: int, seed=0) -> DataFrame:
+    """(word_id, vec): counts of k documents, each drawn in proportion to its squared distance from those before.
+
+    A draw is the least of -ln(u) / distance, one pass over the triples joined with one document's words.
+    """
+    squares = F.sum(F.col("cnt").cast("double") * F.col("cnt"))
+    docs = checkpointed(triples.groupBy("doc_id").agg(squares.alias("sq"), F.lit(None).cast("double").alias("far")))
+    chosen = []
+    for n in range(min(k, docs.count())):
+        race = -F.log(hash_uniform(f"{seed}/{n}", "doc_id") + 1e-12) / F.coalesce("far", F.lit(1.0))
+        left = docs.where(F.coalesce("far", F.lit(1.0)) > 0) if n else docs
+        best = left.select(F.min_by(F.struct("doc_id", "sq"), F.struct(race, "doc_id"))).first()[0]
+        if best is None:  # every document equals a chosen one
+            break
+        chosen.append(best["doc_id"])
+        words = triples.where(F.col("doc_id") == best["doc_id"]).select("word_id", F.col("cnt").alias("c"))
+        dot = triples.join(words, "word_id").groupBy("doc_id").agg(F.sum(F.col("cnt").cast("double") * F.col("c")).alias("dot"))
+        near = F.greatest(F.col("sq") + best["sq"] - 2.0 * F.coalesce("dot", F.lit(0.0)), F.lit(0.0))
+        docs = checkpointed(docs.join(dot, "doc_id", "left").select("doc_id", "sq", F.least("far", near).alias("far")))
+    if not chosen:
+        return triples.select("word_id", F.array(*[F.lit(0.0)] * k).alias("vec")).limit(0)
+    label = triples.sparkSession.createDataFrame([(d, n) for n, d in enumerate(chosen)], "doc_id long, k int")
+    return _one_per_document(triples, label, k)
 
 
 def start_topics(triples, vocab, k, how="randomfromprior", seed=0, lam0=0.01, arg=1.0) -> DataFrame:
@@ -455,8 +540,10 @@ def start_topics(triples, vocab, k, how="randomfromprior", seed=0, lam0=0.01, ar
         return random_topics(vocab, k, lam0 if how == "randomfromprior" else arg, float(n), seed)
     if how == "randsoftpartition":
         return soft_partition_topics(triples, k, seed)
-    if how in ("plusplus", "kmeansplusplus"):
-        return cluster_topics(triples, k, seed, 1 if how == "plusplus" else 10)
+    if how == "plusplus":
+        return plusplus_topics(triples, k, seed)
+    if how == "kmeansplusplus":
+        return cluster_topics(triples, k, seed)
     raise ValueError(how)
 
 

@@ -21,17 +21,20 @@ def word_totals(docs: DataFrame, stopwords=ENGLISH) -> DataFrame:
     return rows.groupBy("r.word").agg(F.sum("r.first").alias("df"), F.count(F.lit(1)).alias("cf"))
 
 
-def run_available(spark: SparkSession, stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
-    """Process everything available, writing each result under its batch id; returns the newest.
+def run_available(spark: SparkSession, totals: DataFrame, path: str, key: str = "word") -> DataFrame:
+    """Process everything available; returns the newest row of every key.
 
-    A retried batch overwrites its own folder, so nothing is counted twice.
+    Update mode: a batch writes only the keys it changed, under its batch id, so the work follows the new
+    documents and not the vocabulary. A retried batch overwrites its own folder, so nothing is counted
+    twice. The empty batch -1 gives a stream without files its schema.
     """
+    spark.createDataFrame([], totals.schema).write.mode("ignore").parquet(f"{path}/result/batch=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/result/batch={batch_id}")
 
     query = (
-        stream.writeStream.outputMode(mode)
+        totals.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", f"{path}/state")
         .trigger(availableNow=True)
@@ -39,6 +42,5 @@ def run_available(spark: SparkSession, stream: DataFrame, path: str, mode: str =
     )
     query.awaitTermination()
     written = spark.read.parquet(f"{path}/result")
-    if mode != "complete":
-        return written.drop("batch")
-    return written.where(F.col("batch") == written.select(F.max("batch")).scalar()).drop("batch")
+    newest = written.groupBy(key).agg(F.max_by(F.struct(*totals.columns), "batch").alias("r"))
+    return newest.select("r.*")

@@ -81,9 +81,17 @@ def test_stream_counts_equal_batch(spark, tmp_path):
     docs.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = counts.run_available(spark, counts.word_totals(stream), str(tmp_path / "out")).collect()
+    assert sorted(r.word for r in got) == ["blue", "green", "red"]  # one row each, whatever the number of batches
     assert {r.word: (r.df, r.cf) for r in got} == {"red": (20, 40), "blue": (30, 30), "green": (10, 10)}
 
 
+def test_stream_counts_without_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
+    got = counts.run_available(spark, counts.word_totals(stream), str(tmp_path / "out"))
+    assert got.columns == ["word", "df", "cf"] and got.count() == 0
+
+
 def test_communities_found(spark):
     rng = np.random.RandomState(0)
     rows = [(i, j) for i in range(60) for j in range(i + 1, 60) if rng.rand() < (0.6 if i // 20 == j // 20 else 0.01)]

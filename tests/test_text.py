@@ -94,3 +94,15 @@ def test_archives(spark, tmp_path):
     ]
     docs = archive.documents(got).orderBy("doc_id").collect()
     assert [d.doc_id for d in docs] == [0, 1, 2] and {d.text for d in docs} == {"first", "second", "plain"}
+
+
+def test_sentence_index_joins_lines(spark):
+    """A sentence wrapped over a line, or over a blank line, stays whole in the index."""
+    from docsift.operators import bow, sentences as S
+
+    docs = spark.createDataFrame([(1, "Red apples\ngrow here. Blue\n\nplums fall. "), (2, "Red plums\n \nfall")], "doc_id long, text string")
+    vocab = bow.corpus(docs, min_doc=1, max_share=1.0)[0]
+    sents, terms = S.sentence_index(S.rule_sentences(S.unwrapped(docs)), vocab)
+    got = sorted((r.doc_id, r.sent_ix, r.sentence) for r in sents.collect())
+    assert got == [(1, 0, "Red apples grow here."), (1, 1, "Blue plums fall."), (2, 0, "Red plums fall")]
+    assert terms.where("doc_id = 2").count() == 3
