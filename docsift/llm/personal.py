@@ -2,11 +2,12 @@
 
 Base spans (email, ip, card, phone) are found by fixed patterns in one pass over the whole text. Each is
 a seed. Tokens with a digit outside base spans are candidates. The words around seeds and candidates make
-lexical patterns: the two words before, and the word before with the word after. Seeds score 1; a
-pattern's score for a kind is the mean score of its distinct instances, so candidates that nothing
-supports lower it; an unseen instance scores as its best pattern. After some rounds
-over the pattern-instance graph, patterns with enough distinct seeds and a high score mark candidates as
-further spans. Graph and scores are tables; nothing of them passes the driver.
+lexical patterns: the two words before, and the word before with the word after. A pattern's score for a
+kind is the lower confidence bound (Wilson) of the share of its distinct instances that are known to be of
+the kind, so candidates that nothing supports lower it, and few instances leave it low. The instances of
+trusted patterns become known, as their best pattern's kind, and support further patterns, until no round
+finds new ones. Trusted patterns mark candidates as further spans. Graph and scores are tables; nothing of
+them passes the driver.
 
 Null texts are empty. Rows repeated with one doc_id are judged by their own texts. Ties between kinds go
 to the higher score, then to the first kind. Empty tables give empty results. Other columns are not read.
@@ -133,34 +134,39 @@ def scan(docs: DataFrame) -> DataFrame:
     return batch_by_bytes(docs).select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInPandas(_scan, schema)
 
 
-def learned_patterns(seen: DataFrame, rounds: int, min_seeds: int, min_score: float) -> DataFrame:
+def learned_patterns(seen: DataFrame, share: float, z: float) -> DataFrame:
     """(pattern, kind, score) of the trusted patterns; seen: rows of kind, instance, patterns."""
     spark = seen.sparkSession
-    edges = seen.select(F.explode("patterns").alias("pattern"), "instance", "kind").distinct()
-    seeds_of = F.count(F.when(F.col("kind") >= 0, 1))
-    sizes = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n"), seeds_of.alias("seeds"))
-    edges = table(spark, edges.join(sizes.where((F.col("n") >= min_seeds) & (F.col("seeds") > 0)).select("pattern", "n"), "pattern"), "edges")
-    links = edges.select("pattern", "instance", "n").distinct()
+    edges = table(spark, seen.select(F.explode("patterns").alias("pattern"), "instance", "kind").distinct(), "edges")
+    links = edges.select("pattern", "instance").distinct()
+    sizes = links.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    # with fewer instances the bound stays below the share even if all of them are known
+    links = table(spark, links.join(sizes.where(F.col("n") * (1 - share) >= z * z * share), "pattern"), "links")
     seeds = edges.where("kind >= 0").select("instance", "kind").distinct()
-    known = seeds.withColumn("score", F.lit(1.0))
-    for _ in range(rounds):
-        patterns = links.join(known, "instance").groupBy("pattern", "kind").agg((F.sum("score") / F.first("n")).alias("score"))
+    known = table(spark, seeds, "instances")
+    p, n = F.col("k") / F.col("n"), F.col("n")
+    bound = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    while True:  # what is known only grows, so this ends
+        support = links.join(known, "instance").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+        patterns = support.select("pattern", "kind", bound.alias("score")).where(F.col("score") >= share)
         patterns = table(spark, patterns, "patterns")
-        found = links.join(patterns, "pattern").groupBy("instance", "kind").agg(F.max("score").alias("score"))
-        known = found.join(seeds, ["instance", "kind"], "left_anti").unionByName(seeds.withColumn("score", F.lit(1.0)))
-        known = table(spark, known, "instances")
-    with_seeds = edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("seeds"))
-    return patterns.join(with_seeds, ["pattern", "kind"]).where((F.col("seeds") >= min_seeds) & (F.col("score") >= min_score)).select(
-        "pattern", "kind", "score"
-    )
+        best = F.max(F.struct("score", (-F.col("kind")).alias("k")))
+        found = links.join(patterns, "pattern").groupBy("instance").agg((-best["k"]).alias("kind"))
+        new = table(spark, found.join(known.select("instance").distinct(), "instance", "left_anti"), "found")
+        if new.isEmpty():
+            return patterns
+        known = table(spark, known.unionByName(new), "instances")
+
 
+def find_personal(docs: DataFrame, share: float = 0.5, z: float = 1.2816) -> DataFrame:
+    """doc_id, base and spans (arrays of kind, start, end by kind and start); spans has the learned ones too.
 
-def find_personal(docs: DataFrame, rounds: int = 3, min_seeds: int = 20, min_score: float = 0.8) -> DataFrame:
-    """doc_id, base and spans (arrays of kind, start, end by kind and start); spans has the learned ones too."""
+    A pattern is trusted if more than `share` of what it finds is of the kind, with 90 % confidence (z = 1.2816).
+    """
     spark = docs.sparkSession
     found = table(spark, scan(docs), "personal")
     seen = found.select("doc_id", "mark", F.explode("seen").alias("s")).select("doc_id", "mark", "s.*")
-    patterns = table(spark, learned_patterns(seen.select("kind", "instance", "patterns"), rounds, min_seeds, min_score), "trusted")
+    patterns = table(spark, learned_patterns(seen.select("kind", "instance", "patterns"), share, z), "trusted")
     best = F.max(F.struct("score", (-F.col("p_kind")).alias("k")))
     more = (
         seen.where("kind < 0")

@@ -68,3 +68,17 @@ def test_odd_rows_and_long_texts(spark):
     got = find_personal(docs).collect()
     assert sorted(len(r.base) for r in got) == [0, 0, 1, 1, 1]
     assert find_personal(docs.where("false")).count() == 0
+
+
+def test_later_generations_and_few_seeds(spark):
+    rows = [(i, f"please call me at +1 555 010 {1000 + i} today") for i in range(30)]
+    rows += [(100 + i, f"please call me at 555-010{i} today") for i in range(6)]
+    rows += [(200 + i, f"our fax line is 555-010{i} always") for i in range(6)] + [(300, "our fax line is 555-0777 always")]
+    rows += [(400 + i, f"then ring us on +1 555 020 {1000 + i} please") for i in range(5)] + [(410, "then ring us on 555-0888 please")]
+    rows += [(500 + i, f"the train number {70 + i} departs") for i in range(9)] + [(510, "the train number 555-0100 departs")]
+    got = {r.doc_id: r for r in find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    learned = {k: [(s.kind, texts[k][s.start : s.end]) for s in got[k].spans if s not in got[k].base] for k in texts}
+    assert learned[300] == [(3, "555-0777")] and learned[410] == [(3, "555-0888")]
+    assert all(learned[k + i] == [(3, f"555-010{i}")] for k in (100, 200) for i in range(6))
+    assert not any(learned[500 + i] for i in range(11) if 500 + i in learned)
