@@ -7,9 +7,10 @@ cover, marks of the path it comes from, and the neighbouring words. A random for
 findings scores every finding; those above the threshold are secrets and are blanked out of the text.
 
 Where no labels are given, findings are labelled by strong signs (`weak_label`) and the others are left
-unlabelled. Training takes about `sample` findings of each label; the forest and the
-dictionary (`max_words` words of about `sample_docs` documents) are bounded by parameters and go to all
-tasks, so that texts are scanned, judged and blanked where they are, without a shuffle.
+unlabelled. Training takes about `sample` findings of each label. The dictionary is counted over all
+documents and holds the words that at least `word_share` of them have outside findings, so its size follows
+the vocabulary and not the rows. Forest and dictionary go to all tasks, so that texts are scanned, judged
+and blanked where they are, without a shuffle.
 
 Null texts have no findings and stay null. Without findings of both labels nothing is learned and the
 weak label alone decides. Repeated rows get equal results. Null paths count as empty. Other columns pass
@@ -105,20 +106,27 @@ def features(value: str, before: str, after: str, path: str, dictionary: frozens
 
 
 def _common_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts: Counter = Counter()
     for batch in batches:
-        counts: Counter = Counter()
         for text in batch["text"]:
-            counts.update(set(_WORDS.findall(text.lower())))
+            plain, at = [], 0
+            for s, e in findings(text):
+                plain.append(text[at:s])
+                at = e
+            counts.update(set(_WORDS.findall(" ".join([*plain, text[at:]]).lower())))
+            if len(counts) > 200_000:
+                yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
+                counts = Counter()
+    if counts:
         yield pd.DataFrame(list(counts.items()), columns=["word", "n"])
 
 
-def dictionary(docs: DataFrame, sample_docs: int, max_words: int) -> frozenset[str]:
-    """The words found in most documents of a sample; ties in the order of words."""
+def dictionary(docs: DataFrame, word_share: float) -> frozenset[str]:
+    """The words that stand outside findings in at least `word_share` of all documents."""
     rows = docs.where(F.col("text").isNotNull()).select("text")
-    share = min(1.0, sample_docs / max(rows.count(), 1))
-    sample = rows.where(F.shiftrightunsigned(F.xxhash64("text"), 11) <= int(share * (1 << 53)))
-    counts = sample.mapInPandas(_common_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return frozenset(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(max_words).collect())
+    least = word_share * rows.count()
+    counts = rows.mapInPandas(_common_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return frozenset(counts.where(F.col("n") >= least).select("word").toArrow()["word"].to_pylist())
 
 
 def _labelled(shipped):
@@ -205,9 +213,9 @@ class Scanner:
         return "".join(out) + text[at:]
 
 
-def learn(docs: DataFrame, threshold: float = 0.5, sample_docs: int = 5_000, max_words: int = 20_000, **limits) -> Scanner:
+def learn(docs: DataFrame, threshold: float = 0.5, word_share: float = 1e-5, **limits) -> Scanner:
     """A scanner from docs (text, path)."""
-    words = dictionary(batch_by_bytes(docs), sample_docs, max_words)
+    words = dictionary(batch_by_bytes(docs), word_share)
     return Scanner(words, train(docs, words, **limits), threshold)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from docsift.llm.q_secrets import op6_secrets
-from docsift.llm.secrets import Scanner, findings, learn, scan, weak_label
+from docsift.llm.secrets import Scanner, dictionary, findings, learn, scan, weak_label
 
 SF = "/root/testdata/sf0.01"
 
@@ -98,3 +98,13 @@ def test_odd_rows(spark):
     empty = docs.where("false")
     assert scan(empty, learn(empty)).count() == 0
     assert Scanner(frozenset(), None, 0.5).scores("nothing here", None) == []
+
+
+def test_dictionary_counts_all_documents(spark):
+    rows = [(f"river stone w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'efghijklmn'[i // 1000]} end",) for i in range(8000)]
+    rows += [('token = "onlyinthissecret12345"',)] * 3000 + [(None,)]
+    docs = spark.createDataFrame(rows, "text string")
+    words = dictionary(docs, 1e-5)
+    assert len(words) == 8000 + 4 and "onlyinthissecret" not in words and "token" in words
+    assert dictionary(docs, 0.2) == {"river", "stone", "end", "token"}
+    assert dictionary(docs.where("false"), 1e-5) == frozenset()
