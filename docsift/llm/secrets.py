@@ -1,7 +1,9 @@
 """Secret scanning with a random forest that removes false positives.
 
-A finding is a run of at least 16 characters of keys (letters, digits, `+/_-`, closing `=`) with a digit or a change
-from lower to upper case, or a quoted value of at least 8 characters after `=` or `:`. Its features are
+A finding is a value of at least 6 characters after a name that announces a secret and `=` or `:` (any characters, up
+to the closing quote or white space), a quoted value of at least 8 characters after any other `=` or `:`, or a run of at
+least 16 characters of keys (letters, digits, `+/_-`, closing `=`) with a digit or a change from lower to upper case.
+Where these overlap, the former goes first and the latter keeps what is left. Its features are
 length, character classes, transitions between classes, entropy, the share of it that dictionary words
 cover, marks of the path it comes from, and the neighbouring words. A random forest trained on labelled
 findings scores every finding; those above the threshold are secrets and are blanked out of the text.
@@ -38,6 +40,10 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "AIza"
 PLACEHOLDERS = ("example", "changeme", "placeholder", "xxxx", "your", "dummy", "test", "0000", "1234567")
 PATH_MARKS = ("test", "example", "doc", "sample", "config", "env")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_NAME = re.compile(rf"""(?:{"|".join(NAMES)})[\w-]{{0,20}}["']?[ \t]{{0,8}}\Z""", re.I)
+_SIGN = re.compile(r"(?:=>|:=|[=:])[ \t]{0,8}")
+_VALUE = re.compile(r""""([^"\n]{6,})"|'([^'\n]{6,})'|(?!"[^"\n]*"|'[^'\n]*')["']?([^\s"']\S{5,})""")
+_CLOSING = "\"'`,;.)]}>"  # what follows an unquoted value
 _QUOTED = re.compile(r"""[=:]\s?["']([^"'\s]{8,})["']""")
 _MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
 _WORDS = re.compile(r"[a-z]{3,}")
@@ -45,20 +51,31 @@ _NEXT = re.compile(r"\s*(\S{1,40})")
 HASHED = 8
 
 
+def _named(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    while sign := _SIGN.search(text, at):
+        at = sign.end()
+        m = _NAME.search(text, max(0, sign.start() - 45), sign.start()) and _VALUE.match(text, at)
+        if m:
+            s, at = m.span(m.lastindex)
+            yield s, at if m.lastindex < 3 else max(s + len(text[s:at].rstrip(_CLOSING)), s + 6)
+
+
 def findings(text: str) -> list[tuple[int, int]]:
     """Non-overlapping spans, by start."""
-    out = [m.span(1) for m in _QUOTED.finditer(text)]
-    taken = set(s for s, _ in out)
-    for m in _RUN.finditer(text):
-        s, e = m.span()
-        if _MIXED.search(m.group()) and s not in taken:
-            out.append((s, e))
-    out.sort()
-    kept: list[tuple[int, int]] = []
-    for s, e in out:
-        if kept and s < kept[-1][1]:
-            continue
-        kept.append((s, e))
+    kept: list[tuple[int, int]] = list(_named(text))
+    for more, least in (([m.span(1) for m in _QUOTED.finditer(text)], 8), ([m.span() for m in _RUN.finditer(text)], 16)):
+        taken, free, i = kept, [], 0
+        for s, e in more:
+            while i < len(taken) and taken[i][1] <= s:
+                i += 1
+            j = i
+            while j < len(taken) and taken[j][0] < e:
+                free.append((s, taken[j][0]))
+                s = taken[j][1]
+                j += 1
+            free.append((s, e))
+        kept = sorted(taken + [(s, e) for s, e in free if e - s >= least and (least == 8 or _MIXED.search(text, s, e))])
     return kept
 
 
@@ -72,13 +89,15 @@ def neighbours(text: str, start: int, end: int) -> tuple[str, str]:
     return text[max(0, start - 60) : start].lower(), m.group(1).lower() if m else ""
 
 
-def weak_label(value: str, before: str) -> int:
-    """1 secret, 0 none, -1 unknown."""
-    near = before[-30:].rstrip(" \"'")
+def weak_label(value: str, before: str, words: frozenset[str] = frozenset()) -> int:
+    """1 secret, 0 none, -1 unknown. A word of the dictionary after a colon is prose, after = it may be either."""
+    near = before[-30:].rstrip(" \t\"'")
     assigned = near.endswith(("=", ":", "=>")) and any(n in near for n in NAMES)
     low = value.lower()
     if any(p in low for p in PLACEHOLDERS) or len(set(value)) < 5:
         return 0
+    if assigned and low in words:
+        return 0 if near.endswith(":") else -1
     if assigned or value.startswith(PREFIXES):
         return 1
     return -1 if any(n in near for n in NAMES) else 0
@@ -91,7 +110,7 @@ def features(value: str, before: str, after: str, path: str, dictionary: frozens
     counts = Counter(value)
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     covered = sum(len(w) for w in _WORDS.findall(value.lower()) if w in dictionary)
-    near = before[-30:].rstrip(" \"'")
+    near = before[-30:].rstrip(" \t\"'")
     words = re.findall(r"[^\W\d_]+", before)[-2:] + [after]
     hashed = [0.0] * HASHED
     for w in words:
@@ -136,7 +155,7 @@ def _labelled(shipped):
             for text, path in zip(batch["text"], batch["path"]):
                 for s, e in findings(text or ""):
                     before, after = neighbours(text, s, e)
-                    label = weak_label(text[s:e], before)
+                    label = weak_label(text[s:e], before, shipped.value)
                     if label >= 0:
                         rows.append((features(text[s:e], before, after, (path or "").lower(), shipped.value), float(label)))
             yield pd.DataFrame(rows, columns=["features", "label"])
@@ -199,7 +218,7 @@ class Scanner:
             return []
         around = [neighbours(text, s, e) for s, e in spans]
         if self.forest is None:
-            return [(s, e, float(weak_label(text[s:e], b) == 1)) for (s, e), (b, _) in zip(spans, around)]
+            return [(s, e, float(weak_label(text[s:e], b, self.words) == 1)) for (s, e), (b, _) in zip(spans, around)]
         low = (path or "").lower()
         x = np.array([features(text[s:e], b, a, low, self.words) for (s, e), (b, a) in zip(spans, around)])
         return [(s, e, float(p)) for (s, e), p in zip(spans, self.forest.chances(x))]

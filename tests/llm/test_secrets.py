@@ -108,3 +108,43 @@ def test_dictionary_counts_all_documents(spark):
     assert len(words) == 8000 + 4 and "onlyinthissecret" not in words and "token" in words
     assert dictionary(docs, 0.2) == {"river", "stone", "end", "token"}
     assert dictionary(docs.where("false"), 1e-5) == frozenset()
+
+
+FORMS = [
+    ("password=hunter2abc rest", "hunter2abc"),
+    ("DB_PASSWORD: Tr0ub4dor&3", "Tr0ub4dor&3"),
+    ("pwd=P@ssw0rd!2024xyz, and", "P@ssw0rd!2024xyz"),
+    ("(secret=correcthorsebatterystaple)", "correcthorsebatterystaple"),
+    ("API_KEY=QWERTZUIOPASDFGHJKLY", "QWERTZUIOPASDFGHJKLY"),
+    ("{'token' : 'two words!', 'n': 1}", "two words!"),
+]
+
+
+def test_named_values_of_any_form():
+    for text, value in FORMS:
+        assert [text[s:e] for s, e in findings(text)] == [value]
+    both = 'dsn="0123456789abcdef;token:hunter2abc" next'
+    assert [both[s:e] for s, e in findings(both)] == ["0123456789abcdef;token:", "hunter2abc"]
+    assert findings("password=" * 20_000) and findings("the author: me") == []
+    assert findings("a=b" * 50_000 + ' ="' * 50_000) == []
+    assert [s for s, _ in findings("password=\"unclosed1 x")] == [10] and findings("token=\"abc\",b=\"d\"") == []
+    assert weak_label("required", "password: ", frozenset(["required"])) == 0
+
+
+def test_named_values_are_blanked(spark):
+    rng = random.Random(7)
+    any_of = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    prose = "river stones lamps northern greener river stone lamp "
+    rows = [(t, s) for _, t, s in made(400, 1)]
+    for i in range(100):
+        rows.append((f"{prose}{'password' if i % 2 else 'secret'}={any_of('abcdefghijklmnopqrstuvwxyz', 10 + i % 20)} {prose}", 1))
+        rows.append((f"{prose}DB_PASSWORD: {any_of('abcdefgXYZ0123456789&!@', 8 + i % 9)} {prose}", 1))
+        rows.append((f"{prose}API_KEY={any_of('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 20)} {prose} 'token': '{any_of('abcdefg !', 12)}'", 1))
+        rows.append((f"{prose} the password: {rng.choice(['stones', 'northern', 'greener'])} {prose}", 0))
+    train = spark.createDataFrame([(t, "src/config.py", s) for t, s in rows], "text string, path string, secret int")
+    scanner = learn(train)
+    docs = spark.createDataFrame([(i, prose + text + " " + prose, "p") for i, (text, _) in enumerate(FORMS)], "doc_id long, text string, path string")
+    got = scan(docs, scanner).collect()
+    assert [FORMS[r.doc_id] for r in got if FORMS[r.doc_id][1] in r.blanked] == []
+    plain = spark.createDataFrame([(f"{prose} the password: northern {prose}", "p")], "text string, path string")
+    assert "[SECRET]" not in scan(plain, scanner).first().blanked
