@@ -12,6 +12,7 @@ occur; ties are equal pieces. An empty table gives an empty result. Other column
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
@@ -30,10 +31,11 @@ LONG_SPACE = re.compile(r"\s{2000}")
 
 
 class BytePairs:
-    """Ids of a byte-pair vocabulary; strings of special tokens are ordinary text.
+    """Ids as the named encoder (the json file) gives them; strings of its added tokens get their own ids.
 
-    The rank file's encoder is several times faster; texts with very long runs of white space, on which
-    its splitter overflows, go to the other library's encoder of the same vocabulary.
+    The rank file's encoder of the same vocabulary is several times faster but knows no added tokens; texts
+    that hold one of them, or very long runs of white space, on which its splitter overflows, go to the
+    named encoder.
     """
 
     def __init__(self, ranks_path: str, json_path: str):
@@ -43,6 +45,9 @@ class BytePairs:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(json_path, encoding="utf-8") as f:
+            added = [re.escape(t["content"]) for t in json.load(f)["added_tokens"]]
+        self.slow_only = re.compile("|".join([LONG_SPACE.pattern, *added]))
         self.json_path, self._slow = json_path, None
 
     @property
@@ -51,11 +56,10 @@ class BytePairs:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(self.json_path)
-            self._slow.encode_special_tokens = True
         return self._slow
 
     def ids(self, text: str) -> list[int]:
-        if LONG_SPACE.search(text):
+        if self.slow_only.search(text):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

@@ -91,3 +91,12 @@ def test_many_small_pieces_fill_bins():
     bins = plan(counts, 2048)
     total = sum(n * c for n, c in counts.items())
     assert sum(t for _, t in bins) <= total / 2048 * 1.002 + 1
+
+
+def test_added_tokens_in_the_text(spark):
+    plain, e = Tokenizer.from_file(FILES[1]), BytePairs(*FILES)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y" + " " * 3000 + "<|endoftext|>", "<|endoftext"]
+    assert e.ids(texts[0]) == [64, 50256, 65]
+    assert all(e.ids(t) == plain.encode(t, add_special_tokens=False).ids for t in texts)
+    got = pieces(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"), *FILES).first()
+    assert got.length == 4 and got.ids_crc32 == zlib.crc32(np.array([64, 50256, 65, 0], "<u4").tobytes())
