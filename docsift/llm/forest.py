@@ -9,7 +9,7 @@ separate tasks, which return sums per document and no pairs.
 
 Documents with equal sets are one node with a count, linked with one another. Null texts and texts
 without words are linked with nothing and form classes of their own. Rows that share a doc_id are one
-document. Rows with a null doc_id are left out. An empty table gives an empty result.
+document; if their texts differ, it is judged by the one whose set has the smallest digest. Rows with a null doc_id are left out. An empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -67,7 +67,7 @@ def _signatures(trees: int, depth: int):
             for text in batch["text"]:
                 own = shingles(text)
                 rows.append((digest(own), prefixes(own, trees, depth).view(np.int64) if len(own) else None))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": [r[0] for r in rows], "keys": [r[1] for r in rows]})
+            yield batch[["doc_id", "mark"]].assign(digest=[r[0] for r in rows], keys=[r[1] for r in rows])
 
     return run
 
@@ -120,21 +120,26 @@ def jaccard_join(
 ) -> DataFrame:
     """doc_id, class_id (smallest doc_id reachable by links), n_links (other documents linked directly)."""
     spark = docs.sparkSession
-    docs = batch_by_bytes(docs).where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    docs = batch_by_bytes(docs).where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("mark"), "text")
     depth = forest_depth(trees, max_depth, similarity, recall)
-    signed = table(spark, docs.mapInPandas(_signatures(trees, depth), "doc_id long, digest string, keys array<long>"), "signatures")
-    nodes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.count_distinct("doc_id").alias("copies"), F.first("keys").alias("keys")
-    )
-    nodes = table(spark, nodes, "nodes")
+    signed = table(spark, docs.mapInPandas(_signatures(trees, depth), "doc_id long, mark long, digest string, keys array<long>"), "signatures")
+    # one text a document: the same one of its rows gives the signature and, by its mark, the text to verify
+    own = signed.groupBy("doc_id").agg(F.min(F.struct(F.col("digest").isNull(), "digest", "mark")).alias("s")).select("doc_id", "s.digest", "s.mark")
+    own = table(spark, own, "own")
+    keys = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.first("keys").alias("keys"))
+    least = F.min(F.struct("doc_id", "mark"))
+    nodes = own.where(F.col("digest").isNotNull()).groupBy("digest").agg(least.alias("s"), F.count(F.lit(1)).alias("copies"))
+    nodes = table(spark, nodes.join(keys, "digest").select("digest", F.col("s.doc_id").alias("node"), F.col("s.mark").alias("mark"), "copies", "keys"), "nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     candidates = keyed.join(heads, "key").where("node != head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     groups = table(spark, components(candidates).select("node", F.col("component").alias("candidate")), "candidates")
     sizes = groups.groupBy("candidate").agg(F.count(F.lit(1)).alias("size"))
     work = blocked(groups.join(sizes, "candidate"), "candidate", "node", "size", block, per_task)
-    counted = nodes.groupBy("node").agg(F.max("copies").alias("copies"))
-    work = work.join(counted, "node").join(docs.withColumnRenamed("doc_id", "node"), "node")
+    members = groups.join(nodes, "node").select("node", F.col("mark").alias("own"), "copies")
+    # an xor and not an equality, which would become a join key: so joined rows stay dealt by node alone
+    texts = docs.join(members, F.col("doc_id") == F.col("node")).where(F.col("mark").bitwiseXOR(F.col("own")) == 0)
+    work = work.join(texts.select("node", "copies", "text").dropDuplicates(["node"]), "node")
     links = table(spark, work.groupBy("bundle").applyInPandas(_verify(similarity), "node long, links long, root long"), "links")
     classes = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     of_node = (
@@ -144,8 +149,7 @@ def jaccard_join(
         .select("digest", F.coalesce("component", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
     return (
-        signed.select("doc_id", "digest")
+        own.select("doc_id", "digest")
         .join(of_node, "digest", "left")
-        .groupBy("doc_id")
-        .agg(F.coalesce(F.min("class"), F.col("doc_id")).alias("class_id"), F.coalesce(F.max("links"), F.lit(0)).alias("n_links"))
+        .select("doc_id", F.coalesce("class", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
     )

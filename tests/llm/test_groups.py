@@ -88,6 +88,16 @@ def test_jaccard_large_group_in_blocks_and_odd_rows(spark):
     assert len(twice) == len(rows)
 
 
+def test_jaccard_repeated_rows_count_once(spark):
+    w = [f"v{i}" for i in range(120)]
+    rows = [(i, " ".join(w[:60] + ([f"n{i}"] if i % 3 else []) + w[60:])) for i in range(12)] + [(20, "a b c d e f"), (21, "g h i j k l"), (22, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for times in (docs.unionByName(docs), docs.unionByName(docs.where("doc_id IN (1, 2, 20)")).unionByName(docs.where("doc_id = 2"))):
+        assert sorted(map(tuple, jaccard_join(times, block=5, per_task=10).collect())) == plain_jaccard(rows)
+    other = docs.unionByName(spark.createDataFrame([(20, None), (1, ""), (22, "x y")], docs.schema))
+    assert sorted(map(tuple, jaccard_join(other).collect())) == plain_jaccard(rows)
+
+
 def test_depth_reaches_the_recall():
     d = forest_depth(24, 8, 0.8, 0.9999)
     assert 1 - (1 - 0.8**d) ** 24 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 24
