@@ -179,6 +179,25 @@ def test_repeats_odd_tables(spark):
     assert remove_repeats(docs.where(F.lit(False))).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{}, {"hot": 1, "per_bucket": 256, "per_task": 40}])
+def test_repeats_of_null_and_shared_ids(spark, limits):
+    rng = random.Random(11)
+    prose = lambda n: "".join(rng.choice("abcdé \n") for _ in range(n))
+    common = prose(90)
+    texts = [prose(rng.randrange(20, 400)) + common[i % 30 :] + prose(i * 20) for i in range(12)] + [None, "", prose(60), common + "q" * 300]
+    rows = [(None, t) for t in texts[:8]] + [(5, t) for t in texts[4:]] + [(7, t) for t in texts[:12:3]] + [(8, texts[0]), (9, texts[1] * 2)]
+    rows += rows[3:16:2]
+    want = {}
+    for key, text in rows:  # each text of an id against the documents with smaller ids
+        smaller = [(k if k is not None else -1, t) for k, t in rows if (-1 if k is None else k) < (-1 if key is None else key)]
+        want[key, hashlib.sha256((text or "").encode()).hexdigest()] = plain_repeats([*smaller, (99, text)])[99]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in remove_repeats(docs, **limits).collect()]
+    order = lambda r: (-1 if r[0] is None else r[0], *r[1:])
+    expected = [(k, *want[k, hashlib.sha256((t or "").encode()).hexdigest()]) for k, t in rows]
+    assert sorted(got, key=order) == sorted(expected, key=order)
+
+
 def test_hash_compared_merge_sort():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
