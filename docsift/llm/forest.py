@@ -1,9 +1,10 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with MinHash banding.
 
-A document is its set of five-word shingles (all words, if it has fewer). Each tree of the forest keeps a
-prefix of MinHash values; two documents that share a tree's prefix are candidates. Prefixes are shortened
-from `max_depth` until two documents of the least similarity share one in some tree with the target
-recall. Candidates are grouped (a group is what prefixes connect), and inside a group every pair is
+A document is its set of five-word shingles (all words, if it has fewer). Each of `trees` bands is a number
+of MinHash values; two documents that share a band's values are candidates. The number is the same for all
+documents and bands and is fixed before data is read: the largest, from `max_depth` down, with which two
+documents of the least similarity share a band with the target recall (5 by default). No tries are built.
+Candidates are grouped (a group is what prefixes connect), and inside a group every pair is
 verified by the exact Jaccard similarity of the sets. Groups of any size are compared block by block in
 separate tasks, which return sums per document and no pairs.
 
@@ -39,7 +40,7 @@ def digest(own: np.ndarray) -> str | None:
 
 
 def forest_depth(trees: int, max_depth: int, similarity: float, recall: float) -> int:
-    """Shorten prefixes until a pair of the similarity meets in some tree with the wanted probability."""
+    """The most values a band can have for a pair of the similarity to meet in some band with the wanted probability."""
     depth = max_depth
     while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
         depth -= 1
@@ -47,7 +48,7 @@ def forest_depth(trees: int, max_depth: int, similarity: float, recall: float) -
 
 
 def prefixes(own: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """A hash of each tree's first `depth` MinHash values."""
+    """A hash of the `depth` MinHash values of each band."""
     rng = np.random.default_rng(4)
     multiply = rng.integers(1, 1 << 63, (trees * depth, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     flip = rng.integers(0, 1 << 63, (trees * depth, 1), dtype=np.uint64)
