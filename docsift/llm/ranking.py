@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from docsift.llm.common import batch_by_bytes, table
@@ -43,36 +44,34 @@ def term_bags(docs: DataFrame, terms: list[str]) -> DataFrame:
     places = docs.sparkSession.sparkContext.broadcast({t.encode(): i for i, t in enumerate(terms)})  # at most a block's terms
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n long, terms array<int>, times array<int>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = places.value
         for batch in batches:
             sizes, bags = [], []
-            for text in batch["text"]:
-                words = (text or "").encode("utf-8", "replace").translate(_TABLE).split()
+            for text in batch.column("text"):
+                words = (text.as_py() or "").encode("utf-8", "replace").translate(_TABLE).split()
                 sizes.append(len(words))
                 bags.append(sorted((known[w], c) for w, c in Counter(words).items() if w in known))
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n": sizes,
-                    "terms": [[t for t, _ in b] for b in bags],
-                    "times": [[c for _, c in b] for b in bags],
-                }
-            )
+            lists = [pa.array([[x[i] for x in b] for b in bags], pa.list_(pa.int32())) for i in (0, 1)]
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "terms", "times"])
 
-    return batch_by_bytes(docs).select("doc_id", "text").mapInPandas(run, schema)
+    return batch_by_bytes(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def classes(bags: DataFrame, n_docs: int, n_terms: int, top: int) -> DataFrame:
-    """m, terms, times, members: the `top` smallest doc_ids of the documents that share m, terms and times."""
+    """m, terms, times, members, nulls: the `top` smallest doc_ids of the documents that share m, terms and times.
+
+    Members without a doc_id are counted in nulls instead.
+    """
     m = F.expr(f"50 + (50 * n * {n_docs}L) div {max(n_terms, 1)}L")
     found = bags.where(F.size("terms") > 0).select("doc_id", m.alias("m"), "terms", "times")
     found = found.withColumn("h", F.xxhash64("m", "terms", "times"))
     same = ["h", "m", "terms", "times"]
     order = Window.partitionBy(same).orderBy(F.col("doc_id").asc_nulls_last())
     first = found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= top)
-    members = F.transform(F.sort_array(F.collect_list(F.struct("_place", "doc_id"))), lambda x: x["doc_id"])
-    return first.groupBy(same).agg(members.alias("members")).drop("h")
+    nulls = F.count(F.when(F.col("doc_id").isNull(), 1)).cast("int")
+    return first.groupBy(same).agg(F.sort_array(F.collect_list("doc_id")).alias("members"), nulls.alias("nulls")).drop("h")
 
 
 def _weights(n_docs: int, df: np.ndarray) -> np.ndarray:
@@ -80,7 +79,7 @@ def _weights(n_docs: int, df: np.ndarray) -> np.ndarray:
 
 
 def _score(shipped, top: int):
-    """Rows (item, score, members) of the `top` classes of each item among a task's classes."""
+    """Rows (item, score, members, nulls) of the `top` classes of each item among a task's classes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         starts, holders, weights, n_items = shipped.value
@@ -114,10 +113,10 @@ def _score(shipped, top: int):
                 scores = scores.reshape(len(part), n_items)
                 which, item = np.nonzero(scores >= floor)
                 members = part["members"].to_numpy()[which]
-                new = pd.DataFrame({"item": item, "score": scores[which, item], "least": [x[0] for x in members], "members": members})
+                new = pd.DataFrame({"item": item, "score": scores[which, item], "least": [x[0] if len(x) else None for x in members], "members": members, "nulls": part["nulls"].to_numpy()[which]})
                 best = pruned(new if best is None else pd.concat([best, new], ignore_index=True))
         if best is not None:
-            yield best[["item", "score", "members"]]
+            yield best[["item", "score", "members", "nulls"]]
 
     return run
 
@@ -137,9 +136,10 @@ def _block(docs: DataFrame, pairs: pd.DataFrame, top: int) -> DataFrame:
     n_items = int(pairs["item"].max()) + 1
     shipped = spark.sparkContext.broadcast((starts, by_term["item"].to_numpy(np.int64), _weights(n_docs, df), n_items))
     kind = dict(docs.dtypes)["doc_id"]
-    scored = classes(bags, n_docs, n_terms, top).mapInPandas(_score(shipped, top), f"item int, score long, members array<{kind}>")
+    scored = classes(bags, n_docs, n_terms, top).mapInPandas(_score(shipped, top), f"item int, score long, members array<{kind}>, nulls int")
     order = Window.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-    placed = scored.select("item", "score", F.explode("members").alias("doc_id")).withColumn("rank", F.row_number().over(order))
+    every = F.concat("members", F.array_repeat(F.lit(None).cast(kind), F.col("nulls")))
+    placed = scored.select("item", "score", F.explode(every).alias("doc_id")).withColumn("rank", F.row_number().over(order))
     return placed.where(F.col("rank") <= top)
 
 
