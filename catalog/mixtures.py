@@ -245,6 +245,27 @@ def merge_pairs(spark, sf):
     return rounded(spark.createDataFrame(merge_scores(model, ss), "ka int, kb int, score double"), score=3)
 
 
+@query("merge_bipartite", f"""WITH {GG}, z AS (SELECT k, {GGZ} AS z FROM post GROUP BY k),
+ab AS (SELECT a.k AS ka, b.k AS kb, a.i, a.n + b.n + 1e-4 AS kappa, 1 + (a.n + b.n) / 2.0 AS a,
+  2 + 0.5 * (x.sxx + y.sxx - (x.sx + y.sx) * (x.sx + y.sx) / (a.n + b.n + 1e-4)) AS b
+  FROM post a JOIN post b ON a.i = b.i AND a.k < b.k JOIN mo x ON x.k = a.k AND x.i = a.i JOIN mo y ON y.k = b.k AND y.i = b.i),
+zz AS (SELECT ka, kb, {GGZ} AS z FROM ab GROUP BY ka, kb),
+listed AS (SELECT unnest([7, 8, 9]) AS c),
+best AS (SELECT c, ka, kb, row_number() OVER (PARTITION BY c ORDER BY zz.z - p.z - q.z DESC) AS n
+  FROM zz JOIN z p ON p.k = ka JOIN z q ON q.k = kb JOIN listed ON c IN (ka, kb) WHERE ka + kb - c NOT IN (SELECT c FROM listed))
+SELECT (row_number() OVER (ORDER BY n, c))::INTEGER AS place, ka, kb FROM best WHERE n <= 3""")
+def merge_bipartite(spark, sf):
+    """Merges to try for components 7 to 9 as if they were fresh: each with its three best partners among the others."""
+    from docsift.plans.moves import preselect
+
+    vs = vectors(spark, sf)
+    model = X.new_model(vs, "vb", "diag", K)
+    rows = vs.withColumn("resp", X.one_hot(F.col("label"), K))
+    ss = ST.to_numpy(X.resp_stats(rows, "diag"), X.shapes(model))
+    pairs = preselect(model, ss, "marglikfromlistbipartite", listed=[7, 8, 9])
+    return spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(pairs, 1)], "place int, ka int, kb int")
+
+
 @query("gauss_logpdf", f"""WITH {ML} SELECT id, k, {rnd('-ln(2 * pi()) - 0.5 * ln(c00 * c11 - c01 * c01) - 0.5 * (c11 * (x0 - m0) * (x0 - m0) - 2 * c01 * (x0 - m0) * (x1 - m1) + c00 * (x1 - m1) * (x1 - m1)) / (c00 * c11 - c01 * c01)')} AS log_pdf
 FROM p, pp""")
 def gauss_logpdf(spark, sf):

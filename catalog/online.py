@@ -7,7 +7,7 @@ from catalog import query
 from catalog.mixtures import K, labelled, points, vectors
 from catalog.topics import fitted, written
 from docsift.operators import bow, sampling, stats as ST
-from docsift.plans import mixture as X, moves, online as O, topics as P
+from docsift.plans import memoized, mixture as X, moves, online as O, topics as P
 from docsift.session import scratch_path
 from docsift.sources import models
 
@@ -34,7 +34,40 @@ def sovb_mixture(spark, sf):
 def movb_mixture(spark, sf):
     vs, rows = split_vectors(spark, sf, 3)
     model = X.start(vs, X.new_model(vs, "dp", "diag", K), "randexamplesbydist")
-    return X.trace_table(spark, O.movb_mixture(rows, model, 3, 2)[1])
+    return X.trace_table(spark, memoized.movb_mixture(rows, model, 3)[1])
+
+
+def moves_table(spark, log):
+    return spark.createDataFrame(log, memoized.MOVES)
+
+
+@query("movb_merges")
+def movb_merges(spark, sf):
+    """Event points, 6 components: the merges that the memoized learner tries until its bound stands."""
+    vs = points(spark, sf)
+    rows = O.split(vs, sampling.minibatches(vs, "id", 3, 1), "id")
+    model, log = X.start(vs, X.new_model(vs, "dp", "full", 6), "randexamplesbydist"), []
+    memoized.movb_mixture(rows, model, 3, 30, merge="marglik", digits=5, log=log)
+    return moves_table(spark, log)
+
+
+@query("movb_births")
+def movb_births(spark, sf):
+    """Event points, from one component: births on kept statistics, and merges that start from the newborn."""
+    vs = points(spark, sf)
+    rows = O.split(vs, sampling.minibatches(vs, "id", 3, 1), "id")
+    model, log = X.start(vs, X.new_model(vs, "dp", "full", 1), "randsoftpartition"), []
+    memoized.movb_mixture(rows, model, 3, 16, merge="bestnmatchfromlist", births=4, digits=5, log=log)
+    return moves_table(spark, log)
+
+
+@query("movb_topic_merges")
+def movb_topic_merges(spark, sf):
+    """The memoized topic learner with merges judged from kept pair sums."""
+    words, triples, rows = split_docs(spark, sf, 2)
+    model, log = P.new_model(words, triples, 6, "randexamples"), []
+    memoized.movb_topics(rows, words, model, 2, 15, merge="marglik", digits=5, log=log)
+    return moves_table(spark, log)
 
 
 @query("sovb_lda")
@@ -48,14 +81,14 @@ def sovb_lda(spark, sf):
 def movb_lda(spark, sf):
     words, triples, rows = split_docs(spark, sf, 2)
     model = P.new_model(words, triples, K, "randexamples", kind="lda")
-    return X.trace_table(spark, O.movb_topics(rows, words, model, 2, 2)[1])
+    return X.trace_table(spark, memoized.movb_topics(rows, words, model, 2, 15, digits=5)[1])
 
 
 @query("merge_moves")
 def merge_moves(spark, sf):
     vs = points(spark, sf)
     log: list = []
-    X.fit(vs, X.start(vs, X.new_model(vs, "dp", "full", 6), "randexamplesbydist"), 3, after_lap=moves.merge_lap(log))
+    X.fit(vs, X.start(vs, X.new_model(vs, "dp", "full", 6), "randexamplesbydist"), 30, 5, after_lap=moves.merge_lap(log))
     return spark.createDataFrame(log, moves.MERGE_LOG)
 
 
@@ -78,7 +111,7 @@ def birth_moves(spark, sf):
 @query("topic_merges")
 def topic_merges(spark, sf):
     words, _, rows, model, _ = fitted(spark, sf, n_lap=1, k=5)
-    _, _, log = moves.topic_merges(rows, words, model, 2)
+    _, _, log = moves.topic_merges(rows, words, model)
     return spark.createDataFrame(log, moves.MERGE_LOG)
 
 

@@ -203,7 +203,7 @@ def e_step(rows: DataFrame, model: TopicModel, n_inner=10, tol=0.01, docs=False,
     """One pass over document rows (doc_id, word_ids, counts): table (kind, id, vec).
 
     kinds: "w" topic counts of a word, "s" 0: sum of E log pi, 1: scalars of the bound and sizes,
-    2: major shares, 3: entropy by topic, 4 + k: pair entropies, "d" the posterior of a document.
+    2: major shares, 3: entropy by topic, from 8 on: four triangles of pair sums, "d" the posterior of a document.
     """
     k, base, assign = model.k, model.doc_prior(), model.assign
     wide = len(base)
@@ -260,12 +260,34 @@ def _scalars(alpha, e_pi, mass, counts, starts, k, assign, pairs):
     out = [e_pi.sum(0), np.where(share >= 0.05, share, 0.0).sum(0), entropy]
     out += [np.array([v]) for v in bound]
     if pairs:
-        r = mass / counts[:, None]
-        for a in range(k):
-            out.append(np.append(np.zeros(a + 1), (counts[:, None] * xlogx(r[:, [a]] + r[:, a + 1 :])).sum(0)))
+        out += _pair_sums(alpha, e_pi, mass, by_doc, counts, k, assign)
     return out
 
 
+def _pair_sums(alpha, e_pi, mass, by_doc, counts, k, assign):
+    """What the sums become if topics a < b were one in every document: four upper triangles, row by row.
+
+    Entropy of the merged topic; its sum of E log pi; the changes of the sums z and q_pi.
+    """
+    psi_all = SP.np_digamma(alpha.sum(1, keepdims=True))
+    own_q = (alpha - 1.0) * e_pi - SP.np_lgamma(alpha)
+    own_z = by_doc * e_pi[:, :k]
+    rows = [[], [], [], []]
+    for a in range(k):
+        left = np.zeros(a + 1)
+        if assign == "mode":
+            both = SP.np_lgamma(mass[:, [a]] + mass[:, a + 1 :] + 1.0)
+        else:
+            both = counts[:, None] * xlogx((mass[:, [a]] + mass[:, a + 1 :]) / counts[:, None])
+        one = alpha[:, [a]] + alpha[:, a + 1 : k]
+        e_one = SP.np_digamma(one) - psi_all
+        z = (by_doc[:, [a]] + by_doc[:, a + 1 :]) * e_one - own_z[:, [a]] - own_z[:, a + 1 :]
+        q = (one - 1.0) * e_one - SP.np_lgamma(one) - own_q[:, [a]] - own_q[:, a + 1 : k]
+        for out, v in zip(rows, (both, e_one, z, q)):
+            out.append(np.append(left, v.sum(0)))
+    return [v for part in rows for v in part]
+
+
 def _rows_with_phi(rows: DataFrame, model: TopicModel) -> DataFrame:
     """Document rows carrying their words' topic rows, for topic tables too large to ship."""
     pairs = F.explode(F.arrays_zip("word_ids", "counts"))
@@ -290,7 +312,15 @@ class TopicStats:
     token: float
     n_docs: float
     n_tokens: float
-    pair: np.ndarray | None = None
+    pair: np.ndarray | None = None  # entropy of two topics as one
+    pair_s: np.ndarray | None = None  # its sum of E log pi
+    pair_z: np.ndarray | None = None  # changes of z and of q_pi
+    pair_q: np.ndarray | None = None
+
+
+#: Fields of TopicStats that add up over documents, besides the counts.
+SUMS = ("s", "major", "entropy", "z", "q_pi", "token", "n_docs", "n_tokens")
+PAIRS = ("pair", "pair_s", "pair_z", "pair_q")
 
 
 def topic_stats(rows: DataFrame, model: TopicModel, n_inner=10, tol=0.01, pairs=False) -> TopicStats:
@@ -300,12 +330,59 @@ def topic_stats(rows: DataFrame, model: TopicModel, n_inner=10, tol=0.01, pairs=
     small = {r["id"]: np.array(r["vec"], float) for r in out.where("kind = 's'").collect()}
     k = model.k
     if not small:  # no rows: all sums are zero
-        small = {i: np.zeros(wide) for i in range(8 + k)}
-    pair = None
+        small = {i: np.zeros(wide) for i in range(8 + 4 * k)}
+    pair = []
     if pairs:
-        pair = np.stack([small[8 + a][:k] for a in range(k)])
+        pair = [np.stack([small[8 + n * k + a][:k] for a in range(k)]) for n in range(4)]
     counts = out.where("kind = 'w'").select(F.col("id").cast("int").alias("word_id"), F.slice("vec", 1, k).alias("vec"))
-    return TopicStats(counts, small[0], small[1][:k], small[2][:k], *[float(small[i][0]) for i in range(3, 8)], pair)
+    return TopicStats(counts, small[0], small[1][:k], small[2][:k], *[float(small[i][0]) for i in range(3, 8)], *pair)
+
+
+def add_stats(a: TopicStats, b: TopicStats, sign: float = 1.0) -> TopicStats:
+    """a + b, or a - b with sign -1; the counts are a plan over both tables."""
+    more = b.counts if sign == 1.0 else b.counts.select("word_id", F.transform("vec", lambda c: c * sign).alias("vec"))
+    counts = sum_vectors(a.counts.unionByName(more), ["word_id"], len(a.entropy))
+    fields = {f: getattr(a, f) + sign * getattr(b, f) for f in SUMS}
+    if a.pair is not None:
+        fields |= {f: getattr(a, f) + sign * getattr(b, f) for f in PAIRS}
+    return TopicStats(counts, **fields)
+
+
+def merge_stats(ss: TopicStats, a: int, b: int) -> TopicStats:
+    """Statistics with topic b folded into a < b; pair sums that involve a are void until they are gathered anew."""
+    k = len(ss.entropy)
+    cells = entries(F.col("vec"), k)
+    vec = F.array(*[cells[a] + cells[b] if c == a else cells[c] for c in range(k) if c != b])
+    s, major, entropy = ss.s.copy(), ss.major.copy(), ss.entropy.copy()
+    s[a], entropy[a] = ss.pair_s[a, b], ss.pair[a, b]
+    major[a] += major[b]
+    out = TopicStats(
+        ss.counts.select("word_id", vec.alias("vec")),
+        np.delete(s, b), np.delete(major, b), np.delete(entropy, b),
+        ss.z + ss.pair_z[a, b], ss.q_pi + ss.pair_q[a, b], ss.token, ss.n_docs, ss.n_tokens,
+    )
+    for f in PAIRS:
+        v = np.delete(np.delete(getattr(ss, f), b, 0), b, 1)
+        v[a], v[:, a] = 0.0, 0.0
+        setattr(out, f, v)
+    return out
+
+
+def pad_stats(ss: TopicStats, n: int, before: int = 0) -> TopicStats:
+    """Statistics with n empty topics behind the others, or `before` ones in front and no sums of documents."""
+    zeros = lambda m: F.array(*[F.lit(0.0)] * m).cast("array<double>")
+    vec = F.concat(zeros(before), F.col("vec"), zeros(n))
+    k = len(ss.entropy)
+    out = copy.copy(ss)
+    out.counts = ss.counts.select("word_id", vec.alias("vec"))
+    if before:
+        return TopicStats(out.counts, np.zeros(len(ss.s) + before), *[np.zeros(k + before + n)] * 2, 0.0, 0.0, 0.0, 0.0, 0.0, *[np.zeros((k + before + n,) * 2)] * 4)
+    out.s = np.concatenate([ss.s[:k], np.zeros(n), ss.s[k:]])  # the unused rest stays last
+    out.major, out.entropy = np.append(ss.major, np.zeros(n)), np.append(ss.entropy, np.zeros(n))
+    if ss.pair is not None:
+        for f in PAIRS:
+            setattr(out, f, np.pad(getattr(ss, f), (0, n)))
+    return out
 
 
 # --- bound and updates --------------------------------------------------------------------

@@ -3,7 +3,7 @@ import pytest
 
 from docsift.functions import special as SP
 from docsift.operators import sampling, stats as ST
-from docsift.plans import gauss as G, mixture as X, moves, online as O
+from docsift.plans import memoized, gauss as G, mixture as X, moves, online as O
 from docsift.sources import models
 
 
@@ -50,7 +50,7 @@ def test_one_batch_online_equals_full(spark, blobs):
     start = X.start(blobs, X.new_model(blobs, "dp", "full", 3), "randexamples", 5)
     model, full = X.fit(blobs, start, 3)
     rows = O.split(blobs, sampling.minibatches(blobs, "id", 1), "id")
-    _, memo = O.movb_mixture(rows, start, 1, len(full))
+    _, memo = memoized.movb_mixture(rows, start, 1, len(full))
     last, stoch = O.sovb_mixture(rows, start, 1, len(full), power=0.0)
     assert np.allclose([r[1] for r in full], [r[1] for r in memo], rtol=1e-9)
     assert all(np.allclose(last.comps[f], model.comps[f]) for f in model.comps)

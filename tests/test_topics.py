@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsift.operators import bow, sampling, topic_views as V
-from docsift.plans import moves, online as O, topics as P
+from docsift.plans import memoized, moves, online as O, topics as P
 from docsift.sources import models
 from docsift.streaming import learning
 
@@ -67,7 +67,7 @@ def test_one_batch_memoized_equals_full(bars):
     model = P.new_model(vocab, triples, 3, "randexamples", 1, kind="lda")
     _, full = P.fit(rows, vocab, model, 2)
     split = O.split(rows, sampling.minibatches(rows, "doc_id", 1), "doc_id")
-    _, memo = O.movb_topics(split, vocab, model, 1, 2)
+    _, memo = memoized.movb_topics(split, vocab, model, 1, 2)
     assert np.allclose([r[1] for r in full], [r[1] for r in memo], rtol=1e-8)
 
 
@@ -75,7 +75,7 @@ def test_memoized_total_is_the_sum_of_batches(bars):
     vocab, triples, rows, _ = bars
     model = P.new_model(vocab, triples, 3, "randexamples", 1, kind="lda")
     split = O.split(rows, sampling.minibatches(rows, "doc_id", 3), "doc_id")
-    fitted, trace = O.movb_topics(split, vocab, model, 3, 2)
+    fitted, trace = memoized.movb_topics(split, vocab, model, 3, 2)
     mass = fitted.topics.select(F.array(*[F.sum(c) for c in P.entries("lam", 3)])).first()[0]
     assert np.isclose(sum(mass), 120 * 60 + 9 * 3 * 0.01) and trace[-1][3] == 120
 
