@@ -101,7 +101,8 @@ def batch_by_bytes(df: DataFrame, most: int = 4 << 20) -> DataFrame:
 def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    # a writer holds a row group of its task in memory: texts make groups large long before they are many rows
+    df.write.option("parquet.block.size", str(16 << 20)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from docsift.llm.common import batch_by_bytes, table
 
 ORDERS = (5, 4, 3, 2, 1)
-CACHED = 1 << 18  # unseen words whose scores a task remembers
+CACHED = 1 << 16  # unseen words whose scores a task remembers, in one array
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
@@ -51,39 +51,47 @@ class Model:
     word_logs: np.ndarray
     grams: dict[str, int]
     gram_logs: np.ndarray
-    seen: dict[str, np.ndarray] = field(default_factory=dict)
+    seen: dict[str, int] = field(default_factory=dict)
+    scores: np.ndarray | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
-
-    def unseen(self, w: str) -> np.ndarray:
-        """Log frequency in each language of a word that is not in the model."""
-        got = self.seen.get(w)
-        if got is None:
-            got = np.zeros(len(self.langs))
+        return self.__dict__ | {"seen": {}, "scores": None}
+
+    def unseen(self, w: str) -> int:
+        """Row of `scores` with the log frequency in each language of a word that is not in the model."""
+        at = self.seen.get(w)
+        if at is None:
+            if self.scores is None:
+                self.scores = np.zeros((CACHED, len(self.langs)))
+            at = self.seen[w] = len(self.seen)
+            self.scores[at] = 0.0
             for order in ORDERS:
                 known = [self.grams[g] for g in grams(w, order) if g in self.grams]
                 if known:
-                    got = self.gram_logs[known].mean(axis=0)
+                    self.scores[at] = self.gram_logs[known].mean(axis=0)
                     break
-            if len(self.seen) >= CACHED:
-                self.seen.clear()
-            self.seen[w] = got
-        return got
+        return at
 
     def text(self, text: str | None) -> tuple[str, float]:
         found = letter_words(text)
         if not found or not self.langs:
             return "und", 0.0
         total = np.zeros(len(self.langs))
-        known, counts = [], []
+        known, counts, rest, others = [], [], [], []
         for w, n in found.items():
             at = self.words.get(w)
             if at is None:
-                total += n * self.unseen(w)
+                if len(self.seen) >= CACHED and w not in self.seen:
+                    total += np.array(others, float) @ self.scores[rest]
+                    rest, others = [], []
+                    self.seen.clear()
+                rest.append(self.unseen(w))
+                others.append(n)
             else:
                 known.append(at)
                 counts.append(n)
+        if rest:
+            total += np.array(others, float) @ self.scores[rest]
         if known:
             total += np.array(counts, float) @ self.word_logs[known]
         odds = np.exp(total - total.max())
