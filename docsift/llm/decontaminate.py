@@ -6,7 +6,7 @@ matched with those of the items; around every match the windows of `span` words
 with the items' windows as strings, so no hash collision becomes a hit.
 
 Null and empty texts have no words and are clean. An item of fewer than `span` words is one window of
-all its words, looked up by a gram of just that length. Rows repeated with one doc_id share their hits.
+all its words, looked up by a gram of just that length. Every row is judged by its own text, whatever its doc_id.
 Empty tables give empty results or clean documents. Other columns of either table are not read.
 """
 from __future__ import annotations
@@ -144,24 +144,27 @@ def candidate_windows(docs: DataFrame, items: DataFrame, span: int = 13, ship_by
         local = prints.toPandas()
         known = {m: np.sort(local.loc[local["len"] == m, "print"].to_numpy(np.int64).view(np.uint64)) for m in lengths}
         return docs.mapInPandas(_candidates(spark.sparkContext.broadcast(known), lengths, span), schema)
-    all_prints = docs.mapInPandas(_all_prints(lengths, span), f"doc_id {dict(docs.dtypes)['doc_id']}, len int, print long, place int")
+    docs = table(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # a row is known by its number
+    by_row = docs.select(F.col("_row").alias("doc_id"), "text")
+    all_prints = by_row.mapInPandas(_all_prints(lengths, span), "doc_id long, len int, print long, place int")
     places = (
         all_prints.join(prints, ["len", "print"], "left_semi")
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").alias("_row"))
         .agg(F.collect_set(F.struct("len", "place")).alias("places"))  # at most one per word of the document
     )
-    with_places = docs.join(places.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    with_places = docs.join(places, "_row", "left")
     return with_places.select("doc_id", "text", "places").mapInPandas(_cut(span), schema)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = 13, ship_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_words, n_hit (words inside an occurrence of an item window), items (sorted ids as text)."""
     spark = docs.sparkSession
-    found = table(spark, candidate_windows(docs, items, span, ship_bytes), "windows")
-    cut = found.select(F.col("doc_id").alias("_id"), F.explode("windows").alias("c")).select("_id", "c.*")
+    numbered = candidate_windows(docs, items, span, ship_bytes).withColumn("_row", F.monotonically_increasing_id())
+    found = table(spark, numbered, "windows")
+    cut = found.select("_row", F.explode("windows").alias("c")).select("_row", "c.*")
     hits = (
         cut.join(item_windows(items, span), ["len", "window"])
-        .groupBy("_id")
+        .groupBy("_row")
         .agg(
             F.sort_array(F.collect_set(F.struct("first", (F.col("first") + F.col("len")).alias("end")))).alias("spans"),
             F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
@@ -176,8 +179,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 13, ship_bytes:
         ),
         lambda a: a["n"],
     )
-    hits = hits.select("_id", covered.cast("long").alias("n_hit"), "items")
-    return found.select("doc_id", "n_words").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
+    hits = hits.select("_row", covered.cast("long").alias("n_hit"), "items")
+    return found.select("_row", "doc_id", "n_words").join(hits, "_row", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

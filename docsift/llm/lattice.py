@@ -10,7 +10,8 @@ found, each vector's smallest linked relative; pairs are never rows.
 
 Equal vectors are one node with a count, linked with one another. Null and zero vectors and those with
 null or non-finite components are linked with nothing; vectors of different length are never linked.
-Rows repeated with one vec_id are one vector. Labels and other columns are not read.
+Every row is a vector of its own, with a repeated vec_id or a null one too; a null vec_id is never the
+smallest of a component that holds another. Labels and other columns are not read.
 """
 from __future__ import annotations
 
@@ -85,15 +86,15 @@ def _unit(raw: pd.Series, dtype: str) -> np.ndarray:
 
 
 def _raw(dtype: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out = []
-            for v in batch["embedding"]:
+            for v in batch:
                 x = None if v is None or any(e is None for e in v) else np.asarray(v, dtype)
                 out.append(x.tobytes() if x is not None and len(x) and np.isfinite(x).all() and x.any() else None)
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "raw": out})
+            yield pd.Series(out, dtype=object)
 
-    return run
+    return F.pandas_udf(run, "binary")
 
 
 def _by_length(raw: pd.Series) -> Iterator[np.ndarray]:
@@ -172,29 +173,30 @@ def _compare(dtype: str, tables: int, probes: int, scale: float, least: float):
 def near_vectors(
     vectors: DataFrame, least: float = 0.95, tables: int = 8, probes: int = 4, scale: float = 0.4, block: int = 512, per_task: int = 20_000
 ) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every vec_id."""
+    """vec_id, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
     dtype = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
-    raw = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", "embedding").mapInPandas(_raw(dtype), "vec_id long, raw binary")
-    raw = table(spark, raw.groupBy("vec_id").agg(F.max("raw").alias("raw")), "vectors")
-    nodes = raw.where(F.col("raw").isNotNull()).groupBy("raw").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    nodes = table(spark, nodes, "nodes")
+    raw = table(spark, vectors.select("vec_id", _raw(dtype)("embedding").alias("raw")), "vectors")
+    nodes = raw.where(F.col("raw").isNotNull()).groupBy("raw").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    nodes = table(spark, nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     places = table(spark, nodes.select("node", "raw").mapInPandas(_places(dtype, tables, probes, scale), "node long, cell long, home boolean"), "places")
     sizes = places.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.max("home").alias("any_home")).where("size > 1 AND any_home")
     shared = table(spark, places.join(sizes.select("cell", "size"), "cell"), "shared-cells")
-    work = blocked(shared, "cell", "node", "size", block, per_task).join(nodes, "node")
+    work = blocked(shared, "cell", "node", "size", block, per_task).join(nodes.drop("least"), "node")
     links = work.groupBy("bundle").applyInPandas(_compare(dtype, tables, probes, scale, least), "node long, links long, root long")
     links = table(spark, links, "links")
     group = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     of_node = (
-        nodes.select("node", "copies", "raw")
-        .join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+        nodes.join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
         .join(group, "node", "left")
-        .select("raw", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("component", "node").alias("component"))
+        .select("raw", F.coalesce("links", F.lit(0)).alias("links"), "copies", "least", F.coalesce("component", "node").alias("group"))
     )
+    smallest = of_node.groupBy("group").agg(F.min("least").alias("component_id"))
+    of_node = of_node.drop("least").join(smallest, "group").drop("group")
+    own = F.when(F.col("copies").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return raw.join(of_node, "raw", "left").select(
         "vec_id",
         F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).alias("n_links"),
-        F.coalesce("component", "vec_id").alias("component_id"),
-        (F.col("vec_id") == F.coalesce("component", "vec_id")).alias("kept"),
+        own.alias("component_id"),
+        F.col("vec_id").eqNullSafe(own).alias("kept"),
     )

@@ -63,3 +63,14 @@ def test_odd_rows_by_either_way(spark, ship_bytes):
     assert flags[1] and not flags[5] and not flags[3]
     assert decontaminate(d.where(F.lit(False)), b, ship_bytes=ship_bytes).count() == 0
     assert {r.n_hit for r in decontaminate(d, b.where(F.lit(False)), ship_bytes=ship_bytes).collect()} == {0}
+
+
+@pytest.mark.parametrize("ship_bytes", [1 << 20, 0])
+def test_rows_that_share_an_id_are_judged_apart(spark, ship_bytes):
+    run = " ".join(f"w{i}" for i in range(30))
+    docs = [(1, run), (1, "five clean words are here"), (None, run), (None, "clean too"), (None, None), (2, run), (2, run)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, run)], "item_id long, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.c) for r in decontaminate(d, b, ship_bytes=ship_bytes).withColumn("c", contaminated()).collect()), key=repr)
+    want = [(1, 30, 30, True), (1, 5, 0, False), (None, 30, 30, True), (None, 2, 0, False), (None, 0, 0, False), (2, 30, 30, True), (2, 30, 30, True)]
+    assert got == sorted(want, key=repr)

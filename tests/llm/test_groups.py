@@ -115,6 +115,16 @@ def test_lattice_points():
     assert (((x[:, None] - p[:, None] - MINIMAL) ** 2).sum(axis=2) >= d[:, None] - 1e-9).all()
 
 
+def test_every_row_is_a_vector(spark):
+    """Ids that are null or stand for several vectors lose no row and no link."""
+    big = (1 << 62) + 1
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (None, [1.0, 0.0]), (None, [-1.0, 0.0]), (None, None), (big, [0.0, -1.0]), (big, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, node string")
+    got = sorted((tuple(r) for r in near_vectors(df).collect()), key=str)
+    want = [(1, 2, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 2, 1, False), (None, 2, 1, False), (None, 0, None, True), (None, 0, None, True)]
+    assert got == sorted([*want, (big, 0, big, True), (big, 0, big, True)], key=str)
+
+
 @pytest.mark.parametrize("block", [512, 16])
 def test_vectors_against_brute_force(spark, block):
     rng = np.random.default_rng(1)
@@ -127,17 +137,20 @@ def test_vectors_against_brute_force(spark, block):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     odd = [(1000, None), (1001, [0.0] * 64), (1002, [float("nan")] + [1.0] * 63), (1003, [None] * 64), (1004, [1.0, 2.0]), (1005, [2.0, 4.0]), (1006, [])]
     df = spark.createDataFrame([(*r, 3) for r in rows + odd + rows[:5]], "vec_id long, embedding array<float>, n_links int")
-    got = {r.vec_id: r for r in near_vectors(df, block=block, per_task=300).collect()}
+    out = near_vectors(df, block=block, per_task=300).collect()
+    got = {r.vec_id: r for r in out}
     u = x.astype(np.float64)
     u /= np.linalg.norm(u, axis=1)[:, None]
+    u = np.concatenate([u, u[:5]])  # five rows come twice
+    names = [*range(700), *range(5)]
     a, b = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
-    links = list(zip(a.tolist(), b.tolist())) + [(1004, 1005)]
+    links = [(names[i], names[j]) for i, j in zip(a, b)] + [(1004, 1005)]
     keys = [r[0] for r in rows + odd]
-    found = sum(got[k].n_links for k in keys) / 2
+    found = sum(r.n_links for r in out) / 2
     assert found >= 0.999 * len(links) and found <= len(links)
     if found == len(links):
-        assert {k: got[k].component_id for k in keys} == union(keys, links)
-    assert all(got[k].kept == (got[k].component_id == k) for k in keys) and len(got) == len(keys)
+        assert {k: got[k].component_id for k in keys} == union(keys, [(i, j) for i, j in links if i != j])
+    assert all(got[k].kept == (got[k].component_id == k) for k in keys) and len(out) == len(keys) + 5
     assert near_vectors(df.where(F.lit(False))).count() == 0
 
 

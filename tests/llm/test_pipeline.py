@@ -59,6 +59,23 @@ def test_stages_with_odd_rows(spark):
     assert public_tokenizers.path("byte_bpe_50k.json")
 
 
+def test_clashing_names_and_null_ids(spark):
+    """Columns named as the operators' own keep their values; texts without an id are judged like others."""
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(1).collect()]
+    texts = [f"this is text number {i} with some words of its own {i * i}" for i in range(6)] + [items[0]]
+    names = ["score", "lang_pred", "findings", "blanked", "path", "_scan", "class_id", "n_hit"]
+    rows = [(None if i % 2 else i, t, "en", "src", len(t), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts + texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.columns == docs.columns, name
+    got = now.collect()
+    assert sorted(r.text for r in got) == sorted(texts[:6])
+    given = {(r[0], r[1], *r[5:]) for r in rows}
+    assert all((r.doc_id, r.text, *(r[n] for n in names)) in given for r in got)
+
+
 def test_given_rules(spark):
     cases = [
         ("http://a.example.net/en/1", "a.example.net", "/en/1", "example.net/en/", "allow"),
