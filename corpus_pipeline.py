@@ -1,8 +1,9 @@
 """The corpus pipeline: documents in, packed token sequences out.
 
 Each stage takes the documents that its predecessor kept and returns documents with the same columns; the
-last returns pieces of sequences. Rows with a null doc_id pass the filters, as nothing can name them.
-Null texts: rejected by the first stage, which finds no language in them.
+last returns pieces of sequences. Columns of the documents are kept aside while a stage works, so none of their
+names clashes with its own. Null texts are rejected by the first stage, which finds no language in them. Where ids
+are null or repeated, texts stand for their documents: of equal texts one row stays, different texts are judged apart.
 """
 from __future__ import annotations
 
@@ -18,38 +19,45 @@ from docsift.llm.packing import pack, pieces
 MIN_SCORE = 0.5
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
+def _aside(docs: DataFrame, **columns) -> DataFrame:
+    """The documents as one column `_doc`, beside the columns that a stage works on."""
+    return docs.select(F.struct(*docs.columns).alias("_doc"), *(F.expr(c).alias(n) for n, c in columns.items()))
+
+
+def _back(held: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    return held.select(*(changed[c].alias(c) if c in changed else F.col(f"_doc.{c}").alias(c) for c in docs.columns))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found with a score of at least MIN_SCORE; a missing lang is filled in."""
-    found = langid.identify(docs, langid.fit(docs))
+    found = langid.identify(_aside(docs, text="text", lang="lang"), langid.fit(docs.select("text", "lang")))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    return _back(kept, docs, lang=F.coalesce("lang", "lang_pred"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by a Jaccard similarity of 0.8 or more, the one with the smallest doc_id."""
-    classes = table(spark, jaccard_join(docs.select("doc_id", "text")), "classes")
-    kept = _without(docs, classes.where("doc_id != class_id"))
-    named = docs.where("doc_id IS NOT NULL")
-    if named.count() == classes.count():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    ids = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    unique = len(set(ids)) == 1
+    held = _aside(docs, doc_id="doc_id" if unique else "xxhash64(text)", text="text")
+    classes = table(spark, jaccard_join(held.select("doc_id", "text")), "classes")
+    kept = held.join(classes.where("doc_id != class_id").select("doc_id"), "doc_id", "left_anti")
+    return _back(kept if unique else kept.dropDuplicates(["doc_id"]), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth lies in windows of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return _without(docs, decontaminate(docs.select("doc_id", "text"), items).where(contaminated()))
+    held = _aside(docs, doc_id="xxhash64(text)", text="text")
+    hit = decontaminate(held.select("doc_id", "text"), items).where(contaminated()).select("doc_id").distinct()
+    return _back(held.join(hit, "doc_id", "left_anti"), docs)
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets blanked out of the text."""
-    with_path = docs.withColumn("path", F.col("source"))
-    done = secrets.scan(with_path, secrets.learn(with_path))
-    return done.withColumn("text", F.col("blanked")).withColumn("n_chars", F.length("blanked").cast("long")).select(docs.columns)
+    held = _aside(docs, text="text", path="source")
+    done = secrets.scan(held, secrets.learn(held.select("text", "path")))
+    return _back(done, docs, text=F.col("blanked"), n_chars=F.length("blanked").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
