@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from docsift.llm.common import batch_by_bytes, table
 
 ORDERS = (5, 4, 3, 2, 1)
-CACHED = 1 << 16  # unseen words whose scores a task remembers, in one array
+CACHED = 1 << 18  # unseen words whose scores a task remembers, in one array
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
