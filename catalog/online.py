@@ -119,7 +119,7 @@ def topic_merges(spark, sf):
 def topic_births(spark, sf):
     words, triples, rows, model, trace = fitted(spark, sf, n_lap=1, k=3)
     bound, log = trace[-1][1], []
-    for how in ("datadriven", "fromtargetstats", "randomfromexisting", "randomfromprior"):
+    for how in ("criticalneed", "datadriven", "fromtargetstats", "randomfromexisting", "randomfromprior"):
         model, bound, row = moves.topic_birth(rows, triples, words, model, bound, how, 2, n_inner=5)
         log.append(row)
     schema = "how string, target int, n_docs int, k_added int, before double, after double, accepted boolean"

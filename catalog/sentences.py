@@ -52,7 +52,7 @@ def frags(spark, sf, tokenize=False):
 def index(spark, sf):
     """Vocabulary, sents and sent_term of the documents table, by the boundary rule."""
     d = docs(spark, sf)
-    words = bow.corpus(d)[0]
+    words = bow.corpus_vocabulary(d)
     return (words, *S.sentence_index(S.rule_sentences(S.unwrapped(d)), words))
 
 

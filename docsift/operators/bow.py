@@ -76,6 +76,12 @@ def corpus(docs: DataFrame, stopwords=ENGLISH, min_doc: int = 2, max_share: floa
     return vocab, doc_term(counts, vocab)
 
 
+def corpus_vocabulary(docs: DataFrame, stopwords=ENGLISH, min_doc: int = 2, max_share: float = 0.8, lowercase: bool = False) -> DataFrame:
+    """The vocabulary alone: what is written has a row per word, none per document."""
+    words = kept_words(word_counts(docs, stopwords, lowercase), docs, min_doc, max_share)
+    return vocabulary(written(words, "words"))
+
+
 def unigram(vocab: DataFrame) -> DataFrame:
     """Corpus share of each word."""
     total = vocab.select(F.sum("cf")).scalar()

@@ -246,3 +246,42 @@ def test_memoized_topic_birth(bars):
     by_group = np.stack([lam[g * 10 : g * 10 + 10].sum(0) for g in range(3)])
     owner = by_group.argmax(1)
     assert len(set(owner.tolist())) == 3 and all(by_group[g, owner[g]] > 0.8 * by_group[g].sum() for g in range(3))
+
+
+def test_missing_frequencies(bars):
+    vocab, triples, rows = bars
+    model = topic_model(bars, "hdp", 2)
+    docs = triples.select("doc_id").distinct().where("doc_id < 5")
+    got = {(r.doc_id, r.word_id): r.gap for r in M.missing_frequencies(rows, triples, model, docs).collect()}
+    phi = P.as_matrix(model) / P.as_matrix(model).sum(0)
+    shares = {r.doc_id: np.array(r.share) for r in P.normalised(P.doc_topics(rows, model), 2).collect()}
+    counts = {}
+    for r in triples.where("doc_id < 5").collect():
+        counts.setdefault(r.doc_id, np.zeros(30))[r.word_id] = r.cnt
+    want = {}
+    for d, n in counts.items():
+        gap = n / n.sum() - phi @ shares[d]
+        want |= {(d, int(w)): gap[w] for w in np.flatnonzero((gap > 0) & (n > 0))}
+    assert got.keys() == want.keys() and all(np.isclose(got[x], want[x]) for x in want)
+
+
+def test_critical_need_finds_an_absent_topic(bars):
+    """A model of two topics lacks one of the three; a birth from what it misses brings it."""
+    vocab, triples, rows = bars
+    model, bound = topic_model(bars, "hdp", 1), None
+    model, trace = P.fit(rows, vocab, model, 1)
+    bound = trace[-1][1]
+    grown, after, row = M.topic_birth(rows, triples, vocab, model, bound, "criticalneed", 3, n_target_words=25, min_tokens=10, seed=1)
+    assert row[-1] and after > bound and grown.k >= 3
+    grown, trace = P.fit(rows, vocab, grown, 20)
+    lam = P.as_matrix(grown) - grown.lam0
+    by_group = np.stack([lam[g * 10 : g * 10 + 10].sum(0) for g in range(3)])
+    assert len(set(by_group.argmax(1).tolist())) == 3
+
+
+def test_deletion_never_lowers_the_bound(bars):
+    vocab, triples, rows = bars
+    model, trace = P.fit(rows, vocab, topic_model(bars, "hdp", 6), 3)
+    model, before = M._refit(rows, vocab, model, 10)
+    after_model, after, gone = M.delete_topics(rows, vocab, model, before, [2, 4, 5])
+    assert after >= before and after_model.k == model.k - gone >= 3
