@@ -3,8 +3,8 @@
 Documents are independent given the topics, so the E step is a `mapInPandas` over document
 rows. It sends out sums by word, already added up over the task's documents (or a chunk of them,
 if the topic table is large); a groupBy adds them. The topic table stays a DataFrame (word_id, lam array of K). When
-V x K doubles fit under `limit_bytes` it is shipped to the tasks as an array; beyond that
-its rows are joined to the triples instead.
+V x K doubles fit under `limit_bytes` it is shipped to the tasks as an array; beyond that documents are dealt
+to blocks, and a block gets the topic rows of its own words, each once.
 """
 from __future__ import annotations
 
@@ -207,42 +207,47 @@ def e_step(rows: DataFrame, model: TopicModel, n_inner=10, tol=0.01, docs=False,
     """
     k, base, assign = model.k, model.doc_prior(), model.assign
     wide = len(base)
-    if model.fits():
-        lam = as_matrix(model)
-        table = SP.np_digamma(lam) - SP.np_digamma(lam.sum(0))
-        source = rows.select("doc_id", "word_ids", "counts")
-    else:
-        table = None
-        source = _rows_with_phi(rows, model)
 
-    def run(batches):
-        # a table small enough to ship has sums small enough to keep until the task ends
-        whole = np.zeros(table.shape) if sums and table is not None else None
+    def run(batches, table, place=None):
+        # a table at hand has sums small enough to keep until the task ends
+        whole = np.zeros(table.shape) if sums else None
         for chunk in _chunks(batches):
             ids = np.concatenate(chunk["word_ids"].to_numpy())
+            ids = ids if place is None else np.searchsorted(place, ids)
             counts = np.concatenate(chunk["counts"].to_numpy()).astype(float)
             sizes = chunk["word_ids"].map(len).to_numpy()
             starts = np.append(0, np.cumsum(sizes)[:-1])
-            like = table[ids] if table is not None else np.stack(np.concatenate(chunk["phi"].to_numpy()))
-            alpha, e_pi, mass = _local(ids, counts, starts, like, base, k, assign, n_inner, tol)
+            alpha, e_pi, mass = _local(ids, counts, starts, table[ids], base, k, assign, n_inner, tol)
             out = []
             if docs:
                 out.append(pd.DataFrame({"kind": "d", "id": chunk["doc_id"].to_numpy(), "vec": list(alpha)}))
             if sums:
                 words, inv = np.unique(ids, return_inverse=True)
-                by_word = np.stack([np.bincount(inv, mass[:, j], len(words)) for j in range(k)], 1)
-                if whole is not None:
-                    whole[words] += by_word
-                else:
-                    out.append(pd.DataFrame({"kind": "w", "id": words.astype("int64"), "vec": list(by_word)}))
+                whole[words] += np.stack([np.bincount(inv, mass[:, j], len(words)) for j in range(k)], 1)
                 pad = [np.pad(s, (0, wide - len(s))) if len(s) < wide else s for s in _scalars(alpha, e_pi, mass, counts, starts, k, assign, pairs)]
                 out.append(pd.DataFrame({"kind": "s", "id": np.arange(len(pad)), "vec": pad}))
-            yield pd.concat(out)
+            if out:
+                yield pd.concat(out)
         if whole is not None:
             seen = np.flatnonzero(whole.any(1))
-            yield pd.DataFrame({"kind": "w", "id": seen.astype("int64"), "vec": list(whole[seen])})
+            names = seen if place is None else place[seen]
+            yield pd.DataFrame({"kind": "w", "id": names.astype("int64"), "vec": list(whole[seen])})
+
+    if model.fits():
+        lam = as_matrix(model)
+        shipped = SP.np_digamma(lam) - SP.np_digamma(lam.sum(0))
+        return rows.select("doc_id", "word_ids", "counts").mapInPandas(lambda batches: run(batches, shipped), OUT)
+
+    def run_block(documents: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"kind": [], "id": [], "vec": []})
+        if not len(documents) or not len(words):
+            return empty
+        words = words.sort_values("word_id")
+        parts = [*run([documents], np.stack(words["phi"]), words["word_id"].to_numpy())]
+        return pd.concat(parts) if parts else empty
 
-    return source.mapInPandas(run, OUT)
+    mine, needed = _blocks(rows, model)
+    return mine.groupBy("block").cogroup(needed.groupBy("of_block")).applyInPandas(run_block, OUT)
 
 
 def _scalars(alpha, e_pi, mass, counts, starts, k, assign, pairs):
@@ -288,15 +293,17 @@ def _pair_sums(alpha, e_pi, mass, by_doc, counts, k, assign):
     return [v for part in rows for v in part]
 
 
-def _rows_with_phi(rows: DataFrame, model: TopicModel) -> DataFrame:
-    """Document rows carrying their words' topic rows, for topic tables too large to ship."""
-    pairs = F.explode(F.arrays_zip("word_ids", "counts"))
-    long = rows.select("doc_id", pairs.alias("p")).select("doc_id", "p.word_ids", "p.counts")
-    long = long.withColumnRenamed("word_ids", "word_id").join(e_log_phi(model.topics, model.k), "word_id")
-    packed = F.sort_array(F.collect_list(F.struct("word_id", "counts", "phi")))
-    return long.groupBy("doc_id").agg(packed.alias("p")).select(
-        "doc_id", F.col("p.word_id").alias("word_ids"), F.col("p.counts").alias("counts"), F.col("p.phi").alias("phi")
-    )
+def _blocks(rows: DataFrame, model: TopicModel) -> tuple[DataFrame, DataFrame]:
+    """Document rows dealt to blocks, and each block's topic rows, for topic tables too large to ship.
+
+    A word's row goes once to each block that holds the word, however many documents of the block do. A block has
+    so few documents that even if no two shared a word its topic rows would stay below the size limit.
+    """
+    pairs = rows.agg(F.sum(F.size("word_ids"))).first()[0] or 0
+    n_blocks = int(pairs * model.k * 8 // max(model.limit_bytes, 1 << 20)) + 1
+    mine = rows.select("doc_id", "word_ids", "counts", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"))
+    held = mine.select(F.col("block").alias("of_block"), F.explode("word_ids").alias("word_id")).distinct()
+    return mine, held.join(e_log_phi(model.topics, model.k), "word_id")
 
 
 @dataclass

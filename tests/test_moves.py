@@ -285,3 +285,29 @@ def test_deletion_never_lowers_the_bound(bars):
     model, before = M._refit(rows, vocab, model, 10)
     after_model, after, gone = M.delete_topics(rows, vocab, model, before, [2, 4, 5])
     assert after >= before and after_model.k == model.k - gone >= 3
+
+
+@pytest.mark.parametrize("kind", ["lda", "hdp"])
+def test_blocks_of_a_large_table_equal_the_shipped_one(bars, kind):
+    vocab, _, rows = bars
+    model = topic_model(bars, kind, 4)
+    small = P.topic_stats(rows, model, pairs=True)
+    large = P.topic_stats(rows, model.replace(limit_bytes=0), pairs=True)
+    a, b = ({r.word_id: np.array(r.vec) for r in ss.counts.collect()} for ss in (small, large))
+    assert a.keys() == b.keys() and all(np.allclose(a[w], b[w], rtol=1e-10, atol=1e-10) for w in a)
+    for f in (*P.SUMS, *P.PAIRS):
+        assert np.allclose(getattr(small, f), getattr(large, f), rtol=1e-10)
+    one, two = ({r.doc_id: np.array(r.alpha) for r in P.doc_topics(rows, m).collect()} for m in (model, model.replace(limit_bytes=0)))
+    assert one.keys() == two.keys() and all(np.allclose(one[d], two[d]) for d in one)
+    empty = P.topic_stats(rows.limit(0), model.replace(limit_bytes=0))
+    assert empty.n_docs == 0 and empty.counts.count() == 0
+
+
+def test_topic_rows_travel_once_a_block(bars):
+    """The shuffle of topic rows has a row per block and word, not one per document and word."""
+    _, triples, rows = bars
+    model = topic_model(bars, "lda", 3).replace(limit_bytes=0)
+    mine, needed = P._blocks(rows, model)
+    n_blocks = mine.select("block").distinct().count()
+    assert needed.count() <= 30 * n_blocks < triples.count()
+    assert needed.groupBy("of_block", "word_id").count().where("count > 1").isEmpty()
