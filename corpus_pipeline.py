@@ -20,12 +20,15 @@ MIN_SCORE = 0.5
 
 
 def _aside(docs: DataFrame, **columns) -> DataFrame:
-    """The documents as one column `_doc`, beside the columns that a stage works on."""
-    return docs.select(F.struct(*docs.columns).alias("_doc"), *(F.expr(c).alias(n) for n, c in columns.items()))
+    """The columns that a stage works on, and the others of the documents as one column `_doc`."""
+    rest = [c for c in docs.columns if columns.get(c) != c]
+    return docs.select(F.struct(F.lit(0).alias(""), *rest).alias("_doc"), *(F.expr(c).alias(n) for n, c in columns.items()))
 
 
 def _back(held: DataFrame, docs: DataFrame, **changed) -> DataFrame:
-    return held.select(*(changed[c].alias(c) if c in changed else F.col(f"_doc.{c}").alias(c) for c in docs.columns))
+    rest = held.schema["_doc"].dataType.names
+    own = {c: F.col(f"_doc.`{c}`") if c in rest else F.col(c) for c in docs.columns}
+    return held.select(*(changed.get(c, own[c]).alias(c) for c in docs.columns))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
