@@ -11,6 +11,7 @@ from docsift.functions import text as T
 from docsift.operators import boundary as B, sentences as S
 from docsift.session import checkpointed
 
+# The rewrite patterns of the boundary features.
 CLEAN = r"""replace(regexp_replace(regexp_replace({0}, '[.,\d]*\d', '<NUM>', 'g'), '[^a-zA-Z0-9,.;:<>\-''/?!$% ]', '', 'g'), '--', ' ')"""
 
 STATS = FRAG + """,

@@ -53,12 +53,13 @@ class TopicModel:
             self.set_beta(np.ones(self.k))
 
     def set_beta(self, beta: np.ndarray) -> None:
-        """Stick parameters whose mean gives these topic weights, with 1/100 of the least left over."""
-        full = np.append(beta, beta.min() / 100.0)
-        full = full / full.sum()
-        v = full[:-1] / (1.0 - np.append(0.0, np.cumsum(full)[:-2]))
-        mass = np.maximum(1.0 / v, self.alpha0 / (1.0 - v))
-        self.u1, self.u0 = mass * v, mass * (1.0 - v)
+        """Stick parameters whose mean gives these topic weights, with 1/100 of the least left over.
+
+        Their totals are those of the prior, one plus alpha0.
+        """
+        rest = np.append(np.cumsum(beta[::-1])[::-1][1:], 0.0) + beta.min() / 100.0  # weight behind each topic
+        v = beta / (beta + rest)
+        self.u1, self.u0 = (1.0 + self.alpha0) * v, (1.0 + self.alpha0) * (1.0 - v)
 
     def beta(self) -> np.ndarray:
         return weights_of(self.u1 / (self.u1 + self.u0))
