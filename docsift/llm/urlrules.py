@@ -1,16 +1,21 @@
 """URL filters: given host and path rules, and association rules learned from labelled urls.
 
-FP-growth mines combinations of url tokens (labels of the host, parts of the path, names in the query)
-together with the label. Rules token set -> label are kept from a minimum support and confidence on, and
-dropped if a subset of their tokens gives the label with at least the same confidence. An inverted index
-holds each rule under its rarest token: a url is compared only with rules whose rarest token it has, and
-the matching rule of highest confidence decides (then support, then the smaller rule, then its text).
+Tokens of a url are labels of the host, parts of the path and names in the query. Tokens that stand in the
+very same labelled urls are one class: any of them says as much as all of them, so one item stands for the
+class while FP-growth mines combinations of items together with the label. Rules item set -> label are kept
+from a minimum support and confidence on, and dropped if a subset of their items gives the label with at
+least the same confidence. A url fits a rule if it has a token of each of its classes. An inverted index
+holds each rule under the tokens of its rarest class: a url is compared only with rules under its tokens, and
+the matching rule of highest confidence decides (then support, then the smaller rule, then its text). Mining
+takes time with the combinations of classes, not of tokens; many classes that nearly always meet stay costly.
 
 Null urls and urls without `://` have an empty host and path, no tokens, and get `allow`. Repeated rows
 get equal results. Without labelled urls no rule is learned. Extra columns pass through `judge_given`.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -64,16 +69,38 @@ def url_tokens() -> Column:
     return F.array_distinct(F.filter(found, lambda t: F.length(t) > 2))
 
 
+def _classes(held: DataFrame, least: int) -> DataFrame:
+    """(item, members) from (id, token): tokens of the same ids together; item is the smallest of them.
+
+    The same ids means the same number, sum and xor of two 64-bit hashes of the ids. Tokens in fewer than
+    `least` rows are left out, so there are at most (tokens of a url) / (minimum support) of them, and a class
+    is no larger than a url of each of its rows.
+    """
+    mark = [F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("total"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("mixed")]
+    each = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *mark).where(F.col("n") >= least)
+    members = F.sort_array(F.collect_list("token"))
+    return each.groupBy("n", "total", "mixed").agg(members.alias("members")).select(F.col("members")[0].alias("item"), "members")
+
+
 def learn(labelled: DataFrame, min_count: int = 5, min_support: float = 0.001, min_confidence: float = 0.8) -> DataFrame:
-    """(tokens, index, verdict, confidence, support) from rows (tokens array, label string)."""
+    """(tokens, classes, index, verdict, confidence, support) from rows (tokens array, label string).
+
+    tokens holds an item for each class of the rule, classes the tokens that may stand for it, index the
+    tokens of the rarest class.
+    """
     spark = labelled.sparkSession
-    schema = "tokens array<string>, index string, verdict string, confidence double, support double"
-    rows = labelled.where(F.size("tokens") > 0)
-    rows = table(spark, rows.select(F.array_append("tokens", F.concat(F.lit(LABEL), "label")).alias("items")), "labelled")
+    schema = "tokens array<string>, classes array<array<string>>, index array<string>, verdict string, confidence double, support double"
+    rows = labelled.where(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("id"), "tokens", "label")
+    rows = table(spark, rows, "labelled")
     n = rows.count()
     if not n:
         return spark.createDataFrame([], schema)
     support = min(1.0, max(min_support, min_count / n))
+    held = rows.select("id", F.explode(F.array_distinct("tokens")).alias("token"))
+    classes = table(spark, _classes(held, math.floor(support * n)), "token-classes")
+    items = held.join(classes, F.col("token") == F.col("item")).groupBy("id").agg(F.collect_list("item").alias("items"))
+    marked = F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.concat(F.lit(LABEL), "label"))
+    rows = table(spark, rows.join(items, "id", "left").select(marked.alias("items")), "item-sets")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(rows)
     mined = (
         model.associationRules.where(F.col("consequent")[0].startswith(LABEL))
@@ -88,13 +115,15 @@ def learn(labelled: DataFrame, min_count: int = 5, min_support: float = 0.001, m
     )
     singles = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("t"), "freq")
     mined = table(spark, mined, "mined")
-    rarest = (
+    by_class = (
         mined.select("id", F.explode("tokens").alias("t"))
         .join(singles, "t")
+        .join(classes.withColumnRenamed("item", "t"), "t")
         .groupBy("id")
-        .agg(F.min(F.struct("freq", "t"))["t"].alias("index"))
+        .agg(F.min(F.struct("freq", "t", "members")).alias("rarest"), F.collect_list("members").alias("classes"))
+        .select("id", "classes", F.col("rarest.t").alias("index"), F.col("rarest.members").alias("index_members"))
     )
-    rules = table(spark, mined.join(rarest, "id"), "rules")
+    rules = table(spark, mined.join(by_class, "id"), "rules")
     # a more general rule of the same label with at least the same confidence makes a rule redundant
     general = rules.select("index", F.col("id").alias("g"), F.col("tokens").alias("g_tokens"), F.col("verdict").alias("g_verdict"), F.col("confidence").alias("g_conf"))
     redundant = (
@@ -104,16 +133,22 @@ def learn(labelled: DataFrame, min_count: int = 5, min_support: float = 0.001, m
         .where(F.size(F.array_except("g_tokens", "tokens")) == 0)
         .select("id")
     )
-    return rules.join(redundant, "id", "left_anti").select("tokens", "index", "verdict", "confidence", "support")
+    kept = rules.join(redundant, "id", "left_anti")
+    return kept.select("tokens", "classes", F.col("index_members").alias("index"), "verdict", "confidence", "support")
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url, learned, because, confidence) of the distinct urls (url, tokens) that a learned rule fits."""
-    best = F.max(F.struct("confidence", "support", (-F.size("r_tokens")).alias("n"), F.array_join("r_tokens", " ").alias("because"), "verdict"))
+    """(url, learned, because, confidence) of the distinct urls (url, tokens) that a learned rule fits.
+
+    because names the largest token of the url in each class of the rule.
+    """
+    shown = F.array_join(F.array_sort(F.transform("classes", lambda c: F.array_max(F.array_intersect(c, "tokens")))), " ")
+    best = F.max(F.struct("confidence", "support", (-F.size("classes")).alias("n"), "because", "verdict"))
     return (
         urls.select("url", "tokens", F.explode("tokens").alias("index"))
-        .join(rules.withColumnRenamed("tokens", "r_tokens"), "index")
-        .where(F.size(F.array_except("r_tokens", "tokens")) == 0)
+        .join(rules.drop("tokens").withColumn("index", F.explode("index")), "index")
+        .where(F.forall("classes", lambda c: F.arrays_overlap(c, "tokens")))
+        .withColumn("because", shown)
         .groupBy("url")
         .agg(best.alias("b"))
         .select("url", F.col("b.verdict").alias("learned"), "b.because", "b.confidence")

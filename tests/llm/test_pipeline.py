@@ -1,4 +1,6 @@
 """The pipeline's stages against the operators' brute force; url rules; entry without the package."""
+import itertools
+import random
 import subprocess
 import sys
 
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docsift.llm.q_urlrules import RULES, op2_urlrules
-from docsift.llm.urlrules import judge, judge_given, learn, with_parts
+from docsift.llm.urlrules import judge, judge_given, learn, match, url_tokens, with_parts
 from test_decontaminate import plain
 from test_groups import plain_jaccard
 
@@ -119,6 +121,51 @@ def test_learned_rules_judge_the_rest(spark):
     assert judge(pages.where(F.lit(False)), RULES).count() == 0
 
 
+def test_many_tokens_that_always_meet_are_one_class(spark):
+    deep = "/".join(f"deep{i:02d}" for i in range(40))
+    bad = [(f"http://a{i}.com/{deep}/{i}", "block") for i in range(8)]
+    good = [(f"http://b{i}.com/x/y/{i}", "allow") for i in range(8)]
+    labels = spark.createDataFrame(bad + good, "url string, label string")
+    pages = [(1, "http://new.com/deep17/other"), (2, "http://new.com/x/deep"), (3, f"http://c.com/{deep}"), (4, "http://c.com/")]
+    got = {r.page_id: (r.verdict, r.because) for r in judge(spark.createDataFrame(pages, "page_id long, url string"), RULES, labels).collect()}
+    assert got == {1: ("block", "p:deep17"), 2: ("allow", "p:x"), 3: ("block", "p:deep39"), 4: ("allow", None)}
+    rules = learn(with_parts(labels).select(url_tokens().alias("tokens"), "label")).collect()
+    assert sorted((r.verdict, len(r.classes), len(r["index"])) for r in rules) == [("allow", 1, 2), ("block", 1, 40)]
+
+
+def test_classes_lose_no_rule(spark):
+    """Verdicts equal those of all rules over single tokens and sets, counted by brute force."""
+    rng = random.Random(8)
+    names = [["p:ab1", "p:ab2", "p:ab3"], ["p:cd1", "p:cd2"], ["p:ef1"], ["p:gh1"]]  # tokens of a list always meet
+    rows = []
+    for i in range(120):
+        own = [c for c in names if rng.random() < 0.5]
+        label = "block" if names[0] in own and names[2] in own or rng.random() < 0.15 else "allow"
+        rows.append((sorted(t for c in own for t in c), label))
+    rows = [r for r in rows if r[0]]
+    least = max(5, 0.001 * len(rows))
+    counted = {}
+    tokens = sorted({t for own, _ in rows for t in own})
+    for k in range(1, len(tokens) + 1):
+        for some in itertools.combinations(tokens, k):
+            labels = [label for own, label in rows if set(some) <= set(own)]
+            for verdict in ("allow", "block"):
+                n = labels.count(verdict)
+                if n >= least and n / len(labels) >= 0.8:
+                    counted[some, verdict] = (n / len(labels), n)
+    urls = [tuple(sorted(rng.sample(tokens, rng.randrange(1, 6)))) for _ in range(60)]
+    want = {}
+    for own in set(urls):
+        fits = [(v[0], v[1], key[1]) for key, v in counted.items() if set(key[0]) <= set(own)]
+        if fits:
+            top = max(f[0] for f in fits)
+            want[" ".join(own)] = {f[2] for f in fits if f[0] == top}
+    df = spark.createDataFrame(rows, "tokens array<string>, label string")
+    asked = spark.createDataFrame([(" ".join(u), list(u)) for u in set(urls)], "url string, tokens array<string>")
+    got = {r.url: r.learned for r in match(asked, learn(df)).collect()}
+    assert got.keys() == want.keys() and all(got[u] in want[u] for u in got)
+
+
 def test_url_query(spark):
     rows = op2_urlrules(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count()
