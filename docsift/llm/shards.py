@@ -1,9 +1,11 @@
 """Sharding by a hierarchical weighted hash tree.
 
-A document descends from the root to a region, a rack and a shard. At each level every child draws
-ln(u) / weight, where u in (0, 1] is a hash of the document's id and the child's name and weight is the
-summed weight of the shards below it; the largest draw wins. A change of weights therefore moves
-documents only into or out of subtrees whose weights change. Only DataFrame functions are used.
+A document descends from the root to a region, a rack and a shard. Every shard draws ln(u) / weight, where u
+in (0, 1] is a hash of the document's id and the shard's number; the draw of a rack or region is the largest
+of the shards below it, which is distributed as a draw with their summed weight. At each level the largest
+draw wins. A change of weights therefore moves documents only into or out of the shards whose weights
+change, and one more shard, wherever it is put, takes documents only into itself. Only DataFrame functions
+are used; the draws of a document are computed once and serve all levels.
 
 Null texts have no bytes; null ids are drawn as the text "null" and, like repeated rows, land together.
 Ties of draws go to the larger child number, ties in the order of slots are equal rows.
@@ -22,16 +24,23 @@ def even_tree(n: int, per_rack: int = 5, racks: int = 4) -> Tree:
     return [(s // (per_rack * racks), s // per_rack, s, 1.0) for s in range(n)]
 
 
-def _descend(key: Column, level: str, nodes: list[tuple[int, int, float]], parent: Column) -> Column:
-    """The child with the largest draw among the (parent, child, weight) nodes below the chosen parent."""
-    fixed = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(c).alias("c"), F.lit(w).alias("w")) for p, c, w in nodes])
+def _draws(key: Column, tree: Tree) -> Column:
+    """The draw of every shard of the tree for a row, with the shard's region and rack."""
+    names = ("region", "rack", "shard", "weight")
+    fixed = F.array(*[F.struct(*(F.lit(v).alias(n) for n, v in zip(names, node))) for node in tree])
+    own = F.coalesce(key.cast("string"), F.lit("null"))
 
     def draw(x: Column) -> Column:
-        name = F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{level}:"), x["c"].cast("string"))
+        name = F.concat(own, F.lit(":"), x["shard"].cast("string"))
         unit = (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") + 1) / F.lit(float(16**12))
-        return F.struct((F.log(unit) / x["w"]).alias("d"), x["c"].alias("c"))
+        return F.struct((F.log(unit) / x["weight"]).alias("draw"), *(x[n].alias(n) for n in names[:3]))
 
-    return F.array_max(F.transform(F.filter(fixed, lambda x: x["p"] == parent), draw))["c"]
+    return F.transform(fixed, draw)
+
+
+def _child(draws: Column, level: str) -> Column:
+    """The child of the largest draw; a child's draw is the largest below it."""
+    return F.array_max(F.transform(draws, lambda x: F.struct(x["draw"].alias("draw"), x[level].alias("child"))))["child"]
 
 
 def _once(value: Column, use) -> Column:
@@ -39,23 +48,15 @@ def _once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _below(draws: Column, level: str) -> Column:
+    """The draws below the child that wins at a level."""
+    return _once(_child(draws, level), lambda won: F.filter(draws, lambda x: x[level] == won))
+
+
 def shard_of(df: DataFrame, key: str, tree: Tree, name: str) -> DataFrame:
     """df with the shard of each row under the tree, as column `name`."""
-    regions: dict[tuple[int, int], float] = {}
-    racks: dict[tuple[int, int], float] = {}
-    for region, rack, _, weight in tree:
-        regions[0, region] = regions.get((0, region), 0.0) + weight
-        racks[region, rack] = racks.get((region, rack), 0.0) + weight
-    flat = lambda nodes: [(p, c, w) for (p, c), w in sorted(nodes.items())]
-    k = F.col(key)
-    drawn = _once(
-        _descend(k, "region", flat(regions), F.lit(0)),
-        lambda region: _once(
-            _descend(k, "rack", flat(racks), region),
-            lambda rack: _descend(k, "shard", [(r, s, w) for _, r, s, w in tree], rack),
-        ),
-    )
-    return df.withColumn(name, F.coalesce(drawn, F.lit(-1)))
+    descend = lambda d: _once(_below(d, "region"), lambda r: _once(_below(r, "rack"), lambda k: _child(k, "shard")))
+    return df.withColumn(name, _once(_draws(F.col(key), tree), descend))
 
 
 def shard(docs: DataFrame, tree: Tree, grown: Tree, buckets: int = 64) -> DataFrame:

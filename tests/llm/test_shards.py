@@ -10,22 +10,19 @@ from docsift.llm.shards import even_tree, shard, shard_of
 SF = "/root/testdata/sf0.01"
 
 
-def _level(tree, level, nodes, parent):
-    """Rows of documents with the child of the largest draw below their parent."""
-    values = ", ".join(f"({p}, {c}, {w}::DOUBLE)" for p, c, w in nodes)
-    unit = f"(('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{level}:' || c), 1, 12))::BIGINT + 1) / {16**12}::DOUBLE"
-    return f"""(SELECT r.doc_id, arg_max(c, ln({unit}) / w) AS {level}
-        FROM {tree} r JOIN (VALUES {values}) AS n(p, c, w) ON n.p = r.{parent} GROUP BY r.doc_id)"""
+def _level(draws, level, parent):
+    """Rows of documents with the child of the largest draw below their parent, a child's draw being the best below it."""
+    below = "" if parent is None else f" SEMI JOIN {parent[1]} p ON p.doc_id = x.doc_id AND p.{parent[0]} = x.{parent[0]}"
+    return f"(SELECT doc_id, arg_max({level}, draw) AS {level} FROM {draws} x{below} GROUP BY doc_id)"
 
 
 def _tree_sql(n):
-    tree, regions, racks = even_tree(n), {}, {}
-    for region, rack, _, w in tree:
-        regions[region] = regions.get(region, 0) + w
-        racks[region, rack] = racks.get((region, rack), 0) + w
-    top = _level("(SELECT doc_id, 0 AS root FROM documents)", "region", [(0, r, w) for r, w in regions.items()], "root")
-    mid = _level(top, "rack", [(a, b, w) for (a, b), w in racks.items()], "region")
-    return _level(mid, "shard", [(r, s, w) for _, r, s, w in tree], "rack")
+    values = ", ".join(f"({g}, {r}, {s}, {w}::DOUBLE)" for g, r, s, w in even_tree(n))
+    unit = f"(('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || shard), 1, 12))::BIGINT + 1) / {16**12}::DOUBLE"
+    draws = f"(SELECT doc_id, region, rack, shard, ln({unit}) / w AS draw FROM documents, (VALUES {values}) AS n(region, rack, shard, w))"
+    top = _level(draws, "region", None)
+    mid = _level(draws, "rack", ("region", top))
+    return _level(draws, "shard", ("rack", mid))
 
 
 SQL = f"""
@@ -59,6 +56,22 @@ def test_only_subtrees_with_new_weights_move(spark):
     assert abs(share - 3 / 10) < 0.03
 
 
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    rows = spark.range(6000).withColumnRenamed("id", "k")
+    counts = [1, 2, 5, 6, 19, 20, 21, 39, 40, 41, 42]
+    for n in counts:
+        rows = shard_of(rows, "k", even_tree(n), f"s{n}")
+    got = rows.collect()
+    for a, b in zip(counts, counts[1:]):
+        moved = [r[f"s{b}"] for r in got if r[f"s{a}"] != r[f"s{b}"]]
+        assert moved and min(moved) >= a
+        share = len(moved) / len(got)
+        assert abs(share - (b - a) / b) < 0.03
+    for n in counts[4:]:
+        held = [sum(r[f"s{n}"] == s for r in got) for s in range(n)]
+        assert max(held) < 2 * len(got) / n and min(held) > len(got) / n / 2
+
+
 def test_odd_rows(spark):
     rows = [(None, None, 1), (None, "", 2), (5, "x" * 200_000, 3), (5, "x" * 200_000, 3), (6, "\u00e9", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
