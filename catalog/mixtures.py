@@ -229,6 +229,45 @@ def log_norm_consts(spark, sf):
     return spark.createDataFrame(out, "obs string, k int, log_norm double")
 
 
+GGH = f"sum(a - ln(b) + lgamma(a) + (1 - a) * {digamma('a')} + 0.5 * (ln(2 * pi()) + 1 - ln(kappa) - {digamma('a')} + ln(b)))"
+GWL = f"({digamma('(nu / 2)')} + {digamma('(nu / 2 - 0.5)')} + 2 * ln(2) - ln(w00 * w11 - w01 * w01))"
+WZ = "(nu * ln(2) - 0.5 * nu * ln(w00 * w11 - w01 * w01) + lgamma(nu / 2) + lgamma(nu / 2 - 0.5) + 0.5 * ln(pi()))"
+WH = f"({WZ} - 0.5 * (nu - 3) * {GWL} + nu)"
+
+
+@query("entropies", f"""WITH {GG}, {GW},
+zm AS (SELECT k, 4.0 + n AS nu, 1 + s00 AS w00, s01 AS w01, 1 + s11 AS w11 FROM pm)
+SELECT 'diag' AS obs, k, {rnd(GGH, 3)} AS entropy FROM post GROUP BY k
+UNION ALL SELECT 'full', k, {rnd(f'{WH} + ln(2 * pi()) + 1 - ln(kappa) - 0.5 * {GWL}', 3)} FROM gw
+UNION ALL SELECT 'zero_mean', k, {rnd(WH, 3)} FROM zm""")
+def entropies(spark, sf):
+    from docsift.plans.families import entropy
+
+    out = []
+    for obs, vs, k in (("diag", vectors(spark, sf), K), ("full", points(spark, sf), 5), ("zero_mean", points(spark, sf), 5)):
+        out += [(obs, c, round(float(v), 3)) for c, v in enumerate(entropy(obs, labelled(vs, "vb", obs, k).comps))]
+    return spark.createDataFrame(out, "obs string, k int, entropy double")
+
+
+@query("beta_update", f"""WITH n AS (SELECT source, count(*) FILTER (toxic = 1) AS ones, count(*) FILTER (toxic = 0) AS zeros
+  FROM documents JOIN labels USING (doc_id) GROUP BY source),
+p AS (SELECT source, 1.0 + ones AS a, 1.0 + zeros AS b FROM n),
+e AS (SELECT *, {digamma('a')} - {digamma('(a + b)')} AS l1, {digamma('b')} - {digamma('(a + b)')} AS l0, lgamma(a) + lgamma(b) - lgamma(a + b) AS z FROM p)
+SELECT source, {rnd('a')} AS a, {rnd('b')} AS b, {rnd('l1')} AS e_log_p, {rnd('l0')} AS e_log_1p, {rnd('z', 4)} AS log_norm,
+  {rnd('z - (a - 1) * l1 - (b - 1) * l0', 4)} AS entropy FROM e""")
+def beta_update(spark, sf):
+    from docsift.plans import families as B
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").join(labels, "doc_id")
+    count = lambda v: F.sum(F.when(F.col("toxic") == v, 1).otherwise(0))
+    post = B.beta_posterior(rows.groupBy("source").agg(count(1).alias("ones"), count(0).alias("zeros")), "ones", "zeros")
+    a, b = F.col("a"), F.col("b")
+    one, zero = B.beta_expected_logs(a, b)
+    got = post.select("source", "a", "b", one.alias("e_log_p"), zero.alias("e_log_1p"), B.beta_log_norm(a, b).alias("log_norm"), B.beta_entropy(a, b).alias("entropy"))
+    return rounded(got, a=6, b=6, e_log_p=6, e_log_1p=6, log_norm=4, entropy=4)
+
+
 @query("merge_pairs", f"""WITH {GG}, z AS (SELECT k, {GGZ} AS z FROM post GROUP BY k),
 ab AS (SELECT a.k AS ka, b.k AS kb, a.i, a.n + b.n + 1e-4 AS kappa, 1 + (a.n + b.n) / 2.0 AS a,
   2 + 0.5 * (x.sxx + y.sxx - (x.sx + y.sx) * (x.sx + y.sx) / (a.n + b.n + 1e-4)) AS b

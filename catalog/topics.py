@@ -145,6 +145,28 @@ def target_docs(spark, sf):
     return sampling.targeted_sample(shares, "doc_id", 0.1, 200, 4).select("doc_id")
 
 
+@query("target_tokens", f"""WITH {PASS1}, m AS (SELECT doc_id, word_id, cnt FROM r1 WHERE k = 0 AND r > 0.1),
+d AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM m) ORDER BY md5('5:' || doc_id), doc_id LIMIT 200)
+SELECT doc_id, word_id, cnt FROM m SEMI JOIN d USING (doc_id)""")
+def target_tokens(spark, sf):
+    from docsift.operators import sampling
+
+    _, triples, model = fixed(spark, sf, "lda")
+    return sampling.matching_tokens(P.token_responsibilities(triples, model.topics, K), 0, 0.1, 200, 5)
+
+
+@query("topic_entropy", f"""WITH {TOPICS}
+SELECT k, {rnd('sum(lgamma(lam)) - lgamma(any_value(t))', 3)} AS log_norm,
+  {rnd(f"sum(lgamma(lam)) - lgamma(any_value(t)) + (any_value(t) - count(*)) * {digamma('any_value(t)')} - sum((lam - 1) * {digamma('lam')})", 3)} AS entropy
+FROM phi GROUP BY k""")
+def topic_entropy(spark, sf):
+    from docsift.plans.families import dirichlet_log_norm
+
+    model = fixed(spark, sf)[2]
+    cells = model.topics.select("word_id", F.posexplode("lam").alias("k", "lam"))
+    return dirichlet_log_norm(cells, "k", "word_id", "lam").select("k", *(F.round(c, 3).alias(c) for c in ("log_norm", "entropy")))
+
+
 @query("log_factorial", f"""WITH {TOPICS}, b AS (SELECT doc_id, word_id, cnt, k, row_number() OVER (PARTITION BY doc_id, word_id ORDER BY e DESC, k) AS rn FROM tl),
 n AS (SELECT d.doc_id, ids.k, coalesce(sum(b.cnt), 0) AS n FROM (SELECT DISTINCT doc_id FROM dt) d CROSS JOIN ids LEFT JOIN b ON b.doc_id = d.doc_id AND b.k = ids.k AND rn = 1 GROUP BY 1, 2)
 SELECT a.k AS ka, b.k AS kb, {rnd('sum(CASE WHEN a.k = b.k THEN lgamma(a.n + 1) ELSE lgamma(a.n + b.n + 1) END)', 3)} AS value FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.k <= b.k GROUP BY 1, 2""")

@@ -33,6 +33,18 @@ def targeted_sample(shares: DataFrame, key: str, threshold: float, n: int, seed=
     return sample(shares.where(F.col("share") > threshold), key, n, seed)
 
 
+def matching_tokens(tokens: DataFrame, component: int, threshold: float, n: int | None = None, seed=0) -> DataFrame:
+    """(doc_id, word_id, cnt) of the tokens whose `resp` for a component is above the threshold.
+
+    Documents are cut to what the component explains. With n, only the tokens of n of the documents that
+    keep any, chosen uniformly.
+    """
+    kept = tokens.where(F.col("resp")[component] > threshold).select("doc_id", "word_id", "cnt")
+    if n is None:
+        return kept
+    return kept.join(first_keys(kept.select("doc_id").distinct(), "doc_id", seed, n), "doc_id", "left_semi")
+
+
 def weighted_draw(items: DataFrame, key: str, weight: str, n_draws: int, seed=0) -> DataFrame:
     """(draw, key): inverse-CDF draws with chance proportional to the weight.
 

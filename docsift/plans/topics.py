@@ -125,6 +125,16 @@ def token_loglik(triples: DataFrame, topics: DataFrame, k: int) -> DataFrame:
     return triples.join(e_log_phi(topics, k), "word_id")
 
 
+def token_responsibilities(triples: DataFrame, topics: DataFrame, k: int, docs: DataFrame | None = None) -> DataFrame:
+    """Each triple with `resp`, its responsibilities, given its document's posterior `alpha` in docs or none yet."""
+    rows = token_loglik(triples, topics, k)
+    score = F.col("phi")
+    if docs is not None:
+        rows = rows.join(docs.select("doc_id", "alpha"), "doc_id")
+        score = F.zip_with(F.transform(F.slice("alpha", 1, k), SP.digamma), "phi", lambda a, b: a + b)
+    return rows.select("doc_id", "word_id", "cnt", SP.softmax(score).alias("resp"))
+
+
 def topic_shares(topics: DataFrame, k: int) -> DataFrame:
     """(word_id, phi): mean topic-word probabilities."""
     t = topics.withColumn("t", totals(topics, k))
