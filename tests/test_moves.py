@@ -279,6 +279,14 @@ def test_critical_need_finds_an_absent_topic(bars):
     assert len(set(by_group.argmax(1).tolist())) == 3
 
 
+def test_birth_from_matching_tokens(bars):
+    """A birth from the tokens that the one topic explains splits it; the bound rises."""
+    vocab, triples, rows = bars
+    model, trace = P.fit(rows, vocab, topic_model(bars, "hdp", 1), 1)
+    grown, after, row = M.topic_birth(rows, triples, vocab, model, trace[-1][1], k_fresh=3, only_matching=True, seed=1)
+    assert row[-1] and after > trace[-1][1] and grown.k > 1
+
+
 def test_deletion_never_lowers_the_bound(bars):
     vocab, triples, rows = bars
     model, trace = P.fit(rows, vocab, topic_model(bars, "hdp", 6), 3)
