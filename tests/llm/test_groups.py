@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docsift.llm.blocks import roots
 from docsift.llm.common import words
 from docsift.llm.components import components
-from docsift.llm.forest import forest_depth, jaccard_join
+from docsift.llm.forest import block_pairs, forest_depth, forest_recall, jaccard_join, paths, shingles
 from docsift.llm.lattice import MINIMAL, near_vectors, nearest_e8
 from docsift.llm.q_forest import op4_jaccard
 from docsift.llm.suffixes import Strings, merge_sorted, remove_repeats
@@ -103,6 +103,53 @@ def test_depth_reaches_the_recall():
     assert 1 - (1 - 0.8**d) ** 24 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 24
 
 
+def test_forest_paths_and_pairs_of_blocks(spark):
+    rng = random.Random(12)
+    base = [f"v{i}" for i in range(90)]
+    texts = []
+    for i in range(60):
+        w = [f"u{i // 6}x{x}" if i % 2 else x for x in base]
+        for _ in range(2 * (i % 6)):
+            w[rng.randrange(len(w))] = f"n{i}"
+        texts.append(" ".join(w))
+    trees, depth, least = 24, 8, forest_depth(24, 8, 0.8, 0.9999)
+    held = [paths(shingles(t), trees, depth, least) for t in texts]
+    assert all(h.shape == (trees, 8 + 4 * (depth - least)) for h in held)
+    # the same values, cut by themselves: a path begins alike exactly as far as the values agree
+    deep = [paths(shingles(t), trees, depth, 1) for t in texts]
+    block = {i: i // 2 for i in range(60)}
+    want = {}
+    for i in range(60):
+        for j in range(60):
+            if block[i] >= block[j]:
+                continue
+            for x, y, u, v in zip(held[i], held[j], deep[i], deep[j]):
+                same = next((k for k in range(depth) if u[: 12 + 4 * k].tobytes() != v[: 12 + 4 * k].tobytes()), depth) if u[:8].tobytes() == v[:8].tobytes() else 0
+                same = min(same + (same > 0), depth)
+                if same >= least:
+                    assert x[: 8 + 4 * (same - least)].tobytes() == y[: 8 + 4 * (same - least)].tobytes()
+                    want[block[i], block[j]] = max(want.get((block[i], block[j]), 0), same)
+                else:
+                    assert x[:8].tobytes() != y[:8].tobytes()
+    rows = [(bytearray(path.tobytes()), block[i]) for i, h in enumerate(held) for path in h]
+    got = block_pairs(spark.createDataFrame(rows, "path binary, block long"), trees, depth, 0.8, 0.9999).collect()
+    assert {(r.lo, r.hi): r.depth for r in got} == want and len(got) == len(want) and len(set(want.values())) > 1
+    one = spark.createDataFrame([(r[0], 1) for r in rows], "path binary, block long")
+    assert block_pairs(one, trees, depth, 0.8, 0.9999).count() == 0
+
+
+def test_found_links_reach_the_recall():
+    """Made pairs of about the least similarity meet in some tree as often as the formula says."""
+    rng = np.random.default_rng(8)
+    meet = []
+    for _ in range(1500):
+        common = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 50, dtype=np.uint64)])) for _ in range(2))
+        x, y = (paths(s, 8, 6, 5)[:, :8] for s in (a, b))
+        meet.append((x == y).all(axis=1).any())
+    assert abs(np.mean(meet) - forest_recall(8, 5, 0.8)) < 0.02
+
+
 def test_lattice_points():
     assert len(np.unique(MINIMAL, axis=0)) == 240 and np.allclose((MINIMAL**2).sum(axis=1), 2)
     rng = np.random.default_rng(0)
