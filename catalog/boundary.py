@@ -54,6 +54,12 @@ def feats(spark, sf, written=True):
     return checkpointed(x) if written else x
 
 
+def trained(x):
+    """The model is read three times when it classifies, so its table is written once."""
+    model, prior = B.train_naive_bayes(x)
+    return checkpointed(model), prior
+
+
 @query("sbd_clean", f"WITH {FRAG} SELECT doc_id, pos, {CLEAN.format('tokenized')} AS cleaned FROM fr")
 def sbd_clean(spark, sf):
     return frags(spark, sf).select("doc_id", "pos", T.boundary_clean(F.col("tokenized")).alias("cleaned"))
@@ -85,7 +91,7 @@ def nb_train(spark, sf):
 @query("nb_classify", f"WITH {NB} SELECT doc_id, pos, {rnd('pred')} AS pred FROM pd")
 def nb_classify(spark, sf):
     f = feats(spark, sf)
-    preds = B.classify_naive_bayes(f, *B.train_naive_bayes(f))
+    preds = B.classify_naive_bayes(f, *trained(f))
     return preds.select("doc_id", "pos", F.round("pred", 6).alias("pred"))
 
 
@@ -94,18 +100,33 @@ g AS (SELECT doc_id, pos, orig, coalesce(sum(cast(ends_seg OR pred > 0.5 AS INTE
 SELECT doc_id, cast(sent_no AS INTEGER) AS sent_no, string_agg(orig, ' ' ORDER BY pos) AS sentence FROM g GROUP BY doc_id, sent_no""")
 def sentences_model(spark, sf):
     f, x = weak_frags(spark, sf), feats(spark, sf)
-    return B.model_sentences(f, B.classify_naive_bayes(x, *B.train_naive_bayes(x)))
+    return B.model_sentences(f, B.classify_naive_bayes(x, *trained(x)))
 
 
 @query("confusion", f"""WITH {NB} SELECT label, cast(pred > 0.5 AS INTEGER) AS predicted, count(*) AS n
 FROM pd JOIN wl USING (doc_id, pos) GROUP BY ALL""")
 def confusion(spark, sf):
     x = feats(spark, sf)
-    preds = B.classify_naive_bayes(x, *B.train_naive_bayes(x))
+    preds = B.classify_naive_bayes(x, *trained(x))
     joined = x.select("doc_id", "pos", "label").join(preds, ["doc_id", "pos"])
     return B.confusion(joined.withColumn("predicted", (F.col("pred") > 0.5).cast("int")))
 
 
+@query("nb_heldout", f"""WITH {FEATS},
+fh AS (SELECT *, cast('0x' || substr(md5('heldout:' || doc_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.2 AS held FROM fe WHERE regexp_matches(feature, '^(w1|w1length|w1abbr)_')),
+nc AS (SELECT feature, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM fh WHERE NOT held GROUP BY feature),
+nt AS (SELECT sum(n0) + 0.1 * count(*) AS t0, sum(n1) + 0.1 * count(*) AS t1 FROM nc),
+pd AS (SELECT doc_id, pos, label, sum(coalesce(ln((n1 + 0.1) / t1) - ln((n0 + 0.1) / t0), 0)) + any_value(4 * (ln(t1 / (t0 + t1)) - ln(t0 / (t0 + t1)))) AS z
+  FROM fh LEFT JOIN nc USING (feature), nt WHERE held GROUP BY doc_id, pos, label)
+SELECT doc_id, count(*) AS n, cast(sum(cast((z > 0) <> (label = 1) AS INTEGER)) AS BIGINT) AS n_wrong FROM pd GROUP BY doc_id""")
+def nb_heldout(spark, sf):
+    """Errors on held-out documents, of a model without the features that see the next word, as the labels do."""
+    x = B.of_first_word(feats(spark, sf))
+    test = x.where(B.held_out())
+    preds = B.classify_naive_bayes(test, *trained(x.where(~B.held_out())))
+    return B.errors(test.join(preds, ["doc_id", "pos"]))
+
+
 @query("svm_boundary")
 def svm_boundary(spark, sf):
     x = feats(spark, sf)

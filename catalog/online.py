@@ -7,7 +7,7 @@ from catalog import query
 from catalog.mixtures import K, labelled, points, vectors
 from catalog.topics import fitted, written
 from docsift.operators import bow, sampling, stats as ST
-from docsift.plans import memoized, mixture as X, moves, online as O, topics as P
+from docsift.plans import memoized, mixture as X, moves, online as O, runs, topics as P
 from docsift.session import scratch_path
 from docsift.sources import models
 
@@ -150,8 +150,7 @@ def resume_fit(spark, sf):
     path = scratch_path(spark, "resume")
     model, trace = X.fit(vs, X.start(vs, X.new_model(vs, "vb", "diag", K), "randexamplesbydist"), 2)
     models.save_mixture(spark, model, path, 2.0)
-    again, lap = models.load_mixture(spark, path, 1.7)
-    _, more = X.fit(vs, again, 4, first_lap=int(lap))
+    _, more = runs.resume_mixture(vs, path, 4, 1.7)
     return X.trace_table(spark, trace + more)
 
 
@@ -162,7 +161,6 @@ def warm_start(spark, sf):
     path = scratch_path(spark, "warm")
     models.save_mixture(spark, labelled(vs, "em", "diag", K), path, 1.0)
     saved, _ = models.load_mixture(spark, path)
-    ss = ST.to_numpy(X.model_stats(vs, saved), X.shapes(saved))
-    return X.comp_table(spark, X.new_model(vs, "vb", "diag", K).m_step(ss))
+    return X.comp_table(spark, runs.warm_mixture(vs, saved, X.new_model(vs, "vb", "diag", K)))
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docsift.functions import text as T
+from docsift.functions.ranking import hash_uniform
 from docsift.operators import sentences as S
 from docsift.operators.vectors import index_of, sparse_vectors
 from docsift.session import checkpointed
 
 ALPHA = "^[A-Za-z]+$"
+#: Features of few values: lengths up to 10, whole logarithms of counts, yes or no. Those of the first word alone.
+FEW = "^(w1length|w1abbr|w2cap|w2lower)_"
+FIRST = "^(w1|w1length|w1abbr)_"
 
 
 def word_stats(frags: DataFrame) -> DataFrame:
@@ -106,16 +110,50 @@ def train_naive_bayes(feats: DataFrame, smooth: float = 0.1) -> tuple[DataFrame,
 
 
 def classify_naive_bayes(feats: DataFrame, model: DataFrame, prior: DataFrame) -> DataFrame:
-    """(doc_id, pos, pred): probability of a boundary; features the model lacks are skipped."""
+    """(doc_id, pos, pred): probability of a boundary; features the model lacks are skipped.
+
+    The features of few values are in nearly every row: one small map (about a hundred entries) holds their
+    weights. Only the others are joined.
+    """
     ratio = model.select("feature", (F.log("p1") - F.log("p0")).alias("w"))
-    rows = feats.select("doc_id", "pos", F.explode("features").alias("feature")).join(ratio, "feature", "left")
+    small = ratio.where(F.col("feature").rlike(FEW)).agg(F.map_from_entries(F.collect_list(F.struct("feature", "w")))).scalar()
     start = prior.select(4.0 * (F.log("prior1") - F.log("prior0"))).scalar()
-    summed = rows.groupBy("doc_id", "pos").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("s"))
+    few = F.filter("features", lambda f: f.rlike(FEW))
+    known = feats.withColumn("small", small).select(
+        "doc_id",
+        "pos",
+        F.aggregate(few, F.lit(0.0), lambda s, f: s + F.coalesce(F.try_element_at("small", f), F.lit(0.0))).alias("base"),
+        F.explode_outer(F.filter("features", lambda f: ~f.rlike(FEW))).alias("feature"),
+    )
+    rows = known.join(ratio, "feature", "left")
+    summed = rows.groupBy("doc_id", "pos").agg((F.sum(F.coalesce("w", F.lit(0.0))) + F.first("base")).alias("s"))
     return summed.withColumn("z", F.col("s") + start).select(
         "doc_id", "pos", squash(F.col("z")).alias("pred")
     )
 
 
+def held_out(doc_id: str = "doc_id", share: float = 0.2) -> Column:
+    """Whether a document is kept from training: whole documents, by the hash of their id."""
+    return hash_uniform("heldout", doc_id) < share
+
+
+def of_first_word(feats: DataFrame) -> DataFrame:
+    """Rows with the features of the first word alone: weak labels look at the second, so no feature is the label."""
+    return feats.withColumn("features", F.filter("features", lambda f: f.rlike(FIRST)))
+
+
+def errors(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, n, n_wrong) from rows of doc_id, label, pred."""
+    wrong = ((F.col("pred") > threshold) != (F.col("label") == 1)).cast("int")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(wrong).alias("n_wrong"))
+
+
+def accuracy(errors: DataFrame) -> float:
+    """The share of right predictions; nan without any."""
+    n, wrong = errors.agg(F.sum("n"), F.sum("n_wrong")).first()
+    return 1.0 - wrong / n if n else float("nan")
+
+
 def squash(x: Column) -> Column:
     """Logistic function."""
     return 1.0 / (1.0 + F.exp(-x))

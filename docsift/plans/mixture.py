@@ -271,8 +271,15 @@ def start(vectors: DataFrame, model: Mixture, how="randexamples", seed=0) -> Mix
     return model.m_step(ST.to_numpy(resp_stats(rows, model.obs), shapes(model)))
 
 
-def start_from_labels(vectors: DataFrame, model: Mixture) -> Mixture:
-    rows = vectors.withColumn("resp", one_hot(F.col("label"), model.k))
+def start_from_labels(vectors: DataFrame, model: Mixture, repeats: int = 1, seed=0) -> Mixture:
+    """A component for each label 0 .. or, if repeated, for each label in each of `repeats` random parts of the rows.
+
+    The model must have labels x repeats components; rows (id, x, label) are dealt to parts by their id.
+    """
+    label = F.col("label")
+    if repeats > 1:
+        label = label + (model.k // repeats) * F.floor(hash_uniform(f"repeat {seed}", "id") * repeats)
+    rows = vectors.withColumn("resp", one_hot(label, model.k))
     return model.m_step(ST.to_numpy(resp_stats(rows, model.obs), shapes(model)))
 
 
