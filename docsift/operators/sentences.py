@@ -103,6 +103,8 @@ def sentence_index(sentences: DataFrame, vocab: DataFrame, stopwords=ENGLISH, li
     counts = (
         kept.select("doc_id", "sent_no", F.explode(T.content_tokens(F.col("sentence"), stopwords)).alias("word"))
         .join(vocab.select("word", "word_id"), "word")
+        .select("doc_id", "sent_no", "word_id")
+        .repartition("doc_id")  # one shuffle for the counts and the numbers below
         .groupBy("doc_id", "sent_no", "word_id")
         .agg(F.count(F.lit(1)).alias("cnt"))
     )
