@@ -9,7 +9,7 @@ from catalog.sqltext import rnd
 from catalog.text import docs
 from docsift.functions import text as T
 from docsift.operators import boundary as B, sentences as S
-from docsift.session import checkpointed
+from docsift.session import written
 
 # The rewrite patterns of the boundary features.
 CLEAN = r"""replace(regexp_replace(regexp_replace({0}, '[.,\d]*\d', '<NUM>', 'g'), '[^a-zA-Z0-9,.;:<>\-''/?!$% ]', '', 'g'), '--', ' ')"""
@@ -43,21 +43,18 @@ pr AS (SELECT 4 * (ln(t1 / (t0 + t1)) - ln(t0 / (t0 + t1))) AS z0 FROM nt),
 pd AS (SELECT doc_id, pos, 1.0 / (1.0 + exp(-(sum(ln(p1) - ln(p0)) + any_value(z0)))) AS pred FROM fe JOIN nb USING (feature), pr GROUP BY doc_id, pos)"""
 
 
-def weak_frags(spark, sf, words=False):
-    return B.weak_labels(S.fragments(docs(spark, sf), words=words))
+def weak_frags(spark, sf):
+    """The labelled fragments, written once: statistics, features and sentences read them, and the texts are split once."""
+    f = B.weak_labels(S.fragments(docs(spark, sf), words=True))
+    return written(f.select("doc_id", "pos", "orig", "ends_seg", "label", "last_word", "next_word"), "fragments")
 
 
-def feats(spark, sf, written=True):
+def feats(spark, sf, keep=True, frags=None):
     """Features of every fragment. Word statistics and features are written once, then read often."""
-    stats = checkpointed(B.word_stats(weak_frags(spark, sf)))
-    x = B.features(weak_frags(spark, sf, words=True), stats)
-    return checkpointed(x) if written else x
-
-
-def trained(x):
-    """The model is read three times when it classifies, so its table is written once."""
-    model, prior = B.train_naive_bayes(x)
-    return checkpointed(model), prior
+    frags = weak_frags(spark, sf) if frags is None else frags
+    stats = written(B.word_stats(frags.select(S.tokenized(F.col("orig")).alias("tokenized"))), "word-stats")
+    x = B.features(frags, stats)
+    return written(x, "boundaries") if keep else x
 
 
 @query("sbd_clean", f"WITH {FRAG} SELECT doc_id, pos, {CLEAN.format('tokenized')} AS cleaned FROM fr")
@@ -91,7 +88,7 @@ def nb_train(spark, sf):
 @query("nb_classify", f"WITH {NB} SELECT doc_id, pos, {rnd('pred')} AS pred FROM pd")
 def nb_classify(spark, sf):
     f = feats(spark, sf)
-    preds = B.classify_naive_bayes(f, *trained(f))
+    preds = B.classify_naive_bayes(f, *B.train_naive_bayes(f))
     return preds.select("doc_id", "pos", F.round("pred", 6).alias("pred"))
 
 
@@ -99,16 +96,16 @@ def nb_classify(spark, sf):
 g AS (SELECT doc_id, pos, orig, coalesce(sum(cast(ends_seg OR pred > 0.5 AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent_no FROM j)
 SELECT doc_id, cast(sent_no AS INTEGER) AS sent_no, string_agg(orig, ' ' ORDER BY pos) AS sentence FROM g GROUP BY doc_id, sent_no""")
 def sentences_model(spark, sf):
-    f, x = weak_frags(spark, sf), feats(spark, sf)
-    return B.model_sentences(f, B.classify_naive_bayes(x, *trained(x)))
+    f = weak_frags(spark, sf)
+    x = feats(spark, sf, frags=f)
+    return B.model_sentences(f, B.classify_naive_bayes(x, *B.train_naive_bayes(x)))
 
 
 @query("confusion", f"""WITH {NB} SELECT label, cast(pred > 0.5 AS INTEGER) AS predicted, count(*) AS n
 FROM pd JOIN wl USING (doc_id, pos) GROUP BY ALL""")
 def confusion(spark, sf):
     x = feats(spark, sf)
-    preds = B.classify_naive_bayes(x, *trained(x))
-    joined = x.select("doc_id", "pos", "label").join(preds, ["doc_id", "pos"])
+    joined = B.classify_naive_bayes(x, *B.train_naive_bayes(x), labels=True)
     return B.confusion(joined.withColumn("predicted", (F.col("pred") > 0.5).cast("int")))
 
 
@@ -122,9 +119,8 @@ SELECT doc_id, count(*) AS n, cast(sum(cast((z > 0) <> (label = 1) AS INTEGER))
 def nb_heldout(spark, sf):
     """Errors on held-out documents, of a model without the features that see the next word, as the labels do."""
     x = B.of_first_word(feats(spark, sf))
-    test = x.where(B.held_out())
-    preds = B.classify_naive_bayes(test, *trained(x.where(~B.held_out())))
-    return B.errors(test.join(preds, ["doc_id", "pos"]))
+    model = B.train_naive_bayes(x.where(~B.held_out()))
+    return B.errors(B.classify_naive_bayes(x.where(B.held_out()), *model, labels=True))
 
 
 @query("svm_boundary")

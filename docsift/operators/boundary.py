@@ -1,13 +1,16 @@
 """Sentence boundary classifiers: corpus statistics, features, Naive Bayes, linear SVM."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docsift.functions import text as T
 from docsift.functions.ranking import hash_uniform
 from docsift.operators import sentences as S
 from docsift.operators.vectors import index_of, sparse_vectors
-from docsift.session import checkpointed
+from docsift.session import checkpointed, written
 
 ALPHA = "^[A-Za-z]+$"
 #: Features of few values: lengths up to 10, whole logarithms of counts, yes or no. Those of the first word alone.
@@ -17,15 +20,15 @@ FIRST = "^(w1|w1length|w1abbr)_"
 
 def word_stats(frags: DataFrame) -> DataFrame:
     """(word, n_lower, n_plain): lower-case uses (periods removed) and uses without a final period."""
-    words = frags.select(F.explode(F.split("tokenized", " ")).alias("w")).select(
-        "w", F.replace("w", F.lit("."), F.lit("")).alias("bare")
-    )
+    # counted first: what follows meets each word once, not each of its uses
+    words = frags.select(F.explode(F.split("tokenized", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    words = words.select("w", "n", F.replace("w", F.lit("."), F.lit("")).alias("bare"))
     lower = F.col("w") == F.lower("w")
     plain = ~F.col("w").endswith(".")
     uses = F.filter(
         F.array(
-            F.struct(F.col("bare").alias("word"), lower.cast("int").alias("lo"), F.lit(0).alias("pl")),
-            F.struct(F.col("w").alias("word"), F.lit(0).alias("lo"), plain.cast("int").alias("pl")),
+            F.struct(F.col("bare").alias("word"), F.when(lower, F.col("n")).otherwise(0).alias("lo"), F.lit(0).cast("long").alias("pl")),
+            F.struct(F.col("w").alias("word"), F.lit(0).cast("long").alias("lo"), F.when(plain, F.col("n")).otherwise(0).alias("pl")),
         ),
         lambda u: (u["lo"] + u["pl"]) > 0,
     )
@@ -61,9 +64,12 @@ def features(frags: DataFrame, stats: DataFrame) -> DataFrame:
     )
     plain = stats.where(F.col("n_plain") > 0).select(F.col("word").alias("stem"), "n_plain")
     lower = stats.where(F.col("n_lower") > 0).select(F.col("word").alias("low"), "n_lower")
-    known = pairs.join(plain, "stem", "left").join(lower, "low", "left")
-    cap = F.when(F.col("c2").rlike("^[A-Z]"), "True").otherwise("False")
-    size = F.least(F.lit(10), F.length(F.regexp_replace("c1", r"\W", "")))
+    known = pairs.join(plain, "stem", "left").join(lower, "low", "left").select(
+        "*",
+        F.when(F.col("c2").rlike("^[A-Z]"), "True").otherwise("False").alias("cap"),
+        F.least(F.lit(10), F.length(F.regexp_replace("c1", r"\W", ""))).alias("size"),
+    )
+    cap, size = F.col("cap"), F.col("size")
     # Feature names.
     listed = F.array(
         F.concat(F.lit("w1_"), "c1"),
@@ -87,11 +93,12 @@ def weak_labels(frags: DataFrame) -> DataFrame:
 def train_naive_bayes(feats: DataFrame, smooth: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """Model tables: (feature, p0, p1) and one row (prior0, prior1).
 
-    Each label has one pooled denominator over all features seen under it.
+    Each label has one pooled denominator over all features seen under it. The counts are written once, as both
+    tables and their readers start from them.
     """
     rows = feats.select("label", F.explode("features").alias("feature"))
     one = (F.col("label") == 1).cast("long")
-    counts = rows.groupBy("feature").agg(F.sum(1 - one).alias("n0"), F.sum(one).alias("n1"))
+    counts = written(rows.groupBy("feature").agg(F.sum(1 - one).alias("n0"), F.sum(one).alias("n1")), "features")
     totals = counts.agg(
         (F.sum("n0") + smooth * F.count(F.lit(1))).alias("t0"),
         (F.sum("n1") + smooth * F.count(F.lit(1))).alias("t1"),
@@ -109,27 +116,65 @@ def train_naive_bayes(feats: DataFrame, smooth: float = 0.1) -> tuple[DataFrame,
     return model, prior
 
 
-def classify_naive_bayes(feats: DataFrame, model: DataFrame, prior: DataFrame) -> DataFrame:
+def classify_naive_bayes(feats: DataFrame, model: DataFrame, prior: DataFrame, labels: bool = False) -> DataFrame:
     """(doc_id, pos, pred): probability of a boundary; features the model lacks are skipped.
 
-    The features of few values are in nearly every row: one small map (about a hundred entries) holds their
-    weights. Only the others are joined.
+    The features of few values are in nearly every row: their weights (about a hundred) are shipped and added up
+    where the rows are. Only the others are joined. With `labels` one row (doc_id, pos, label, pred) for each
+    fragment with a doc_id: labels travel beside the features, so that fragments need not meet their predictions.
     """
     ratio = model.select("feature", (F.log("p1") - F.log("p0")).alias("w"))
-    small = ratio.where(F.col("feature").rlike(FEW)).agg(F.map_from_entries(F.collect_list(F.struct("feature", "w")))).scalar()
+    few = ratio.where(F.col("feature").rlike(FEW)).toArrow()
+    rows = _others(feats, few["feature"].combine_chunks(), few["w"].to_numpy()).join(ratio, "feature", "left")
     start = prior.select(4.0 * (F.log("prior1") - F.log("prior0"))).scalar()
-    few = F.filter("features", lambda f: f.rlike(FEW))
-    known = feats.withColumn("small", small).select(
-        "doc_id",
-        "pos",
-        F.aggregate(few, F.lit(0.0), lambda s, f: s + F.coalesce(F.try_element_at("small", f), F.lit(0.0))).alias("base"),
-        F.explode_outer(F.filter("features", lambda f: ~f.rlike(FEW))).alias("feature"),
-    )
-    rows = known.join(ratio, "feature", "left")
-    summed = rows.groupBy("doc_id", "pos").agg((F.sum(F.coalesce("w", F.lit(0.0))) + F.first("base")).alias("s"))
-    return summed.withColumn("z", F.col("s") + start).select(
-        "doc_id", "pos", squash(F.col("z")).alias("pred")
+    summed = rows.groupBy("doc_id", "pos").agg(
+        (F.sum(F.coalesce("w", F.lit(0.0))) + F.first("base", ignorenulls=True)).alias("s"),
+        F.count("label").cast("int").alias("n"),
+        F.coalesce(F.sum("label"), F.lit(0)).cast("int").alias("n1"),
     )
+    preds = summed.select("doc_id", "pos", squash(F.col("s") + start).alias("pred"), "n", "n1")
+    if not labels:
+        return preds.drop("n", "n1")
+    each = F.concat(F.array_repeat(F.lit(1), F.col("n1")), F.array_repeat(F.lit(0), F.col("n") - F.col("n1")))
+    return preds.where(F.col("doc_id").isNotNull()).select("doc_id", "pos", F.explode(each).alias("label"), "pred")
+
+
+def _others(feats: DataFrame, names: pa.Array, weights: np.ndarray) -> DataFrame:
+    """(doc_id, pos, base, label, feature): a row for each feature of many values, or one without a feature.
+
+    The first row of a fragment has its label and `base`, the sum of the weights of its features of few values.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in feats.schema}
+    schema = f"doc_id {kinds['doc_id']}, pos {kinds['pos']}, base double, label {kinds['label']}, feature string"
+    weights = np.append(weights, 0.0)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("features")
+            flat, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            row, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+            few = pc.match_substring_regex(flat, FEW).to_numpy(zero_copy_only=False).astype(bool)
+            at = pc.index_in(flat, value_set=names).fill_null(len(names)).to_numpy(zero_copy_only=False)
+            base = np.bincount(row[few], weights[at[few]], n).astype(float)
+            # the others in row order, with one empty place for a row that has none
+            kept = np.flatnonzero(~few)
+            alone = np.setdiff1d(np.arange(n), row[kept])
+            of, place = np.append(row[kept], alone), np.append(kept, np.full(len(alone), -1))
+            order = np.argsort(of, kind="stable")
+            of, place = of[order], place[order]
+            rest = np.append(False, of[1:] == of[:-1]) if len(of) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(of)),
+                    batch.column("pos").take(pa.array(of)),
+                    pa.array(base[of], mask=rest),
+                    batch.column("label").take(pa.array(of, mask=rest)),
+                    flat.take(pa.array(place, mask=place < 0)),
+                ],
+                ["doc_id", "pos", "base", "label", "feature"],
+            )
+
+    return feats.select("doc_id", "pos", "label", "features").mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id", share: float = 0.2) -> Column:
@@ -198,8 +243,15 @@ def confusion(rows: DataFrame, label: str = "label", predicted: str = "predicted
 
 
 def model_sentences(frags: DataFrame, preds: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Sentences cut where the prediction passes the threshold or a segment ends."""
-    joined = frags.select("doc_id", "pos", "orig", "ends_seg").join(preds, ["doc_id", "pos"], "left")
+    """Sentences cut where the prediction passes the threshold or a segment ends.
+
+    Fragments and predictions are dealt by document, and a document's stay together from here on: texts travel once.
+    """
+    none = F.lit(None)
+    texts = frags.select("doc_id", "pos", "orig", "ends_seg", none.cast("double").alias("pred"))
+    cuts = preds.where(F.col("doc_id").isNotNull()).select("doc_id", "pos", none.cast("string").alias("orig"), none.cast("boolean").alias("ends_seg"), "pred")
+    both = texts.unionByName(cuts).repartition("doc_id")
+    joined = both.withColumn("pred", F.max("pred").over(W.partitionBy("doc_id", "pos"))).where(F.col("orig").isNotNull())
     return S.segment(joined, F.col("pred") > threshold)
 
 

@@ -23,7 +23,7 @@ def fragments(docs: DataFrame, tokenize: bool = False, words: bool = False) -> D
         T.fragments(F.col("text")),
         lambda f: F.struct(
             f["orig"].alias("orig"),
-            _tokenized(f["orig"], tokenize).alias("tokenized"),
+            tokenized(f["orig"], tokenize).alias("tokenized"),
             f["ends_seg"].alias("ends_seg"),
         ),
     )
@@ -47,15 +47,10 @@ def fragments(docs: DataFrame, tokenize: bool = False, words: bool = False) -> D
 
 
 def _edge_words(tokenized: Column) -> Column:
-    clean = T.squeeze(T.boundary_clean(tokenized))
-    # a list of one, so that the cleaning runs once for both ends
-    return F.transform(
-        F.array(clean),
-        lambda c: F.struct(F.substring_index(c, " ", 1).alias("first"), F.substring_index(c, " ", -1).alias("last")),
-    )[0]
+    return F.struct(T.edge_word(tokenized).alias("first"), T.edge_word(tokenized, last=True).alias("last"))
 
 
-def _tokenized(orig: Column, tokenize: bool) -> Column:
+def tokenized(orig: Column, tokenize: bool = False) -> Column:
     return T.unmarked(T.treebank(orig) if tokenize else orig)
 
 
