@@ -10,6 +10,7 @@ from docsift.functions import text as T
 from docsift.functions.ranking import hash_uniform
 from docsift.operators import sentences as S
 from docsift.operators.vectors import index_of, sparse_vectors
+from docsift.plans import svm
 from docsift.session import checkpointed, written
 
 ALPHA = "^[A-Za-z]+$"
@@ -207,34 +208,51 @@ def squash(x: Column) -> Column:
 def train_svm(feats: DataFrame, c: float = 1.0, max_iter: int = 100, tol: float = 1e-4):
     """(model, index): linear SVM on the features a fragment has; the regulariser follows from C and the rows.
 
-    Every feature has its own column, named by the table `index`.
+    Every feature has its own column, named by the table `index`. Fragments of the same features are one row, which
+    holds how many of either label they are: a feature of a pair of words then is mostly met by a single row.
     """
-    from pyspark.ml.classification import LinearSVC
-
     index = checkpointed(index_of(feats.select(F.explode("features").alias("feature")), "feature"))
-    label = feats.select("doc_id", "pos", F.col("label").cast("double").alias("label"))
-    data = _vectors(feats, index, index.count()).join(label, ["doc_id", "pos"])
-    n = data.count()
-    model = LinearSVC(maxIter=max_iter, tol=tol, regParam=1.0 / (c * max(n, 1)), featuresCol="x", labelCol="label").fit(data)
-    return model, index
+    each = feats.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "pos").agg(
+        F.sort_array(F.flatten(F.collect_list(F.array_distinct("features")))).alias("features"), *_by_label()
+    )
+    groups = each.groupBy("features").agg(*[F.sum(n).alias(n) for n in ("w1", "w0", "other")])
+    groups = written(groups.withColumn("row", F.monotonically_increasing_id()), "svm-rows")
+    n1, n0 = _both_labels(groups)
+    size = groups.agg(F.sum(F.size("features") + 1)).first()[0]
+    kept = ["row", "w1", "w0"]
+    cells = groups.select(*kept, F.explode("features").alias("feature")).join(index, "feature").select("ix", F.lit(1.0).alias("v"), *kept)
+    cells = cells.unionByName(groups.select(F.lit(None).cast("long").alias("ix"), F.lit(1.0).alias("v"), *kept))
+    n = n1 + n0
+    return svm.fit(cells, index.count(), size, n, n, 1.0 / (c * n), max_iter, tol), index
 
 
-def classify_svm(feats: DataFrame, model, index: DataFrame) -> DataFrame:
-    """(doc_id, pos, pred): margin through the logistic function; features the model lacks are skipped."""
-    from pyspark.ml.functions import vector_to_array
+def _by_label(label: str = "label") -> list[Column]:
+    """How many rows have label 1, label 0 and neither."""
+    is1, is0 = (F.coalesce(F.col(label) == v, F.lit(False)) for v in (1, 0))
+    return [F.count_if(is1).alias("w1"), F.count_if(is0).alias("w0"), F.count_if(~is1 & ~is0).alias("other")]
 
-    scored = model.transform(_vectors(feats, index, model.numFeatures))
-    return scored.select("doc_id", "pos", squash(vector_to_array("rawPrediction")[1]).alias("pred"))
 
+def _both_labels(counts: DataFrame) -> tuple[int, int]:
+    """The sums of w1 and w0; a classifier of two classes is not learnt from other labels, or from label 0 alone."""
+    n1, n0, other = (n or 0 for n in counts.agg(F.sum("w1"), F.sum("w0"), F.sum("other")).first())
+    if other or not n1:
+        raise ValueError(f"labels must be 0 and 1: {n1} rows have label 1, {n0} label 0, {other} another or none")
+    return n1, n0
 
-def _vectors(feats: DataFrame, index: DataFrame, size: int) -> DataFrame:
-    """(doc_id, pos, x): one where a fragment has the feature, also for fragments without any known one."""
-    cells = feats.select("doc_id", "pos", F.explode(F.array_distinct("features")).alias("feature")).join(index, "feature")
-    one = F.lit(1.0)
-    cells = cells.select("doc_id", "pos", "ix", one.alias("v")).unionByName(
-        feats.select("doc_id", "pos", F.lit(None).cast("long").alias("ix"), F.lit(None).cast("double").alias("v"))
-    )
-    return sparse_vectors(cells, ["doc_id", "pos"], "ix", F.col("v"), size)
+
+def classify_svm(feats: DataFrame, model: svm.Svm, index: DataFrame) -> DataFrame:
+    """(doc_id, pos, pred): margin through the logistic function; features the model lacks are skipped."""
+    rows = feats.select("doc_id", "pos", F.explode(F.array_distinct("features")).alias("feature"))
+    margin = _margins(rows, index.join(model.weights, "ix"), "feature", feats.select("doc_id", "pos"), model)
+    return margin.select("doc_id", "pos", squash(F.col("margin")).alias("pred"))
+
+
+def _margins(cells: DataFrame, weights: DataFrame, term: str, rows: DataFrame, model: svm.Svm) -> DataFrame:
+    """(keys of rows, margin) from cells(keys, term, v or none) and weights(term, w), also for rows without cells."""
+    value = F.col("w") * F.col("v") if "v" in cells.columns else F.col("w")
+    met = cells.join(weights.select(term, "w"), term).select(*rows.columns, value.alias("s"))
+    both = met.unionByName(rows.select("*", F.lit(0.0).alias("s")))
+    return both.groupBy(*rows.columns).agg((F.sum("s") + model.intercept).alias("margin"))
 
 
 def confusion(rows: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
