@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from docsift.functions import text as T
 from docsift.functions.ranking import hash_uniform
 from docsift.operators import sentences as S
-from docsift.operators.vectors import index_of, sparse_vectors
+from docsift.operators.vectors import index_of
 from docsift.plans import svm
 from docsift.session import checkpointed, written
 
@@ -279,22 +279,25 @@ def train_fact_classifier(rows: DataFrame, weight: float = 10.0, share: float =
     Columns: id, words (array), label 0/1. The first `share` of rows in id order train, the rest
     are scored: returns (model, scored test rows with label and predicted).
     """
-    from pyspark.ml.classification import LinearSVC
-
     from docsift.functions.ranking import order_rank
 
     rows = checkpointed(rows.select("id", "words", F.col("label").cast("double").alias("label")))
-    n = rows.count()
-    ranks = order_rank(rows.select("id", "label"), ["id"])
+    cut = int(rows.count() * share)
+    ranks = checkpointed(order_rank(rows.select("id", "label"), ["id"]).where(F.col("id").isNotNull()))
     counts = rows.select("id", F.explode("words").alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("v"))
+    counts = written(counts.where(F.col("id").isNotNull()), "fact-counts")
     index = checkpointed(index_of(counts, "word"))
-    none = rows.select("id", F.lit(None).cast("long").alias("ix"), F.lit(None).cast("long").alias("v"))
-    cells = counts.join(index, "word").select("id", "ix", "v").unionByName(none)
-    x = sparse_vectors(cells, ["id"], "ix", F.col("v"), index.count()).join(ranks, "id")
-    x = x.withColumn("weight", F.when(F.col("label") == 1, weight).otherwise(1.0))
-    cut = int(n * share)
-    model = LinearSVC(maxIter=max_iter, tol=tol, regParam=1.0 / max(cut, 1), featuresCol="x", weightCol="weight").fit(
-        x.where(F.col("rank") < cut)
+    train = ranks.where(F.col("rank") < cut)
+    n1, n0 = _both_labels(train.groupBy().agg(*_by_label()))
+    kept = ["row", "w1", "w0"]
+    given = train.select(
+        "id", F.col("rank").alias("row"), F.when(F.col("label") == 1, weight).otherwise(0.0).alias("w1"), F.when(F.col("label") == 1, 0.0).otherwise(1.0).alias("w0")
     )
-    scored = model.transform(x.where(F.col("rank") >= cut))
-    return model, scored.select("id", "label", F.col("prediction").alias("predicted"))
+    cells = counts.join(index, "word").join(given, "id").select("ix", F.col("v").cast("double").alias("v"), *kept)
+    cells = cells.unionByName(given.select(F.lit(None).cast("long").alias("ix"), F.lit(1.0).alias("v"), *kept))
+    total, squares = weight * n1 + n0, weight * weight * n1 + n0
+    model = svm.fit(cells, index.count(), counts.count() + n1 + n0, total, squares, 1.0 / max(cut, 1), max_iter, tol)
+    test = ranks.where(F.col("rank") >= cut)
+    keys = ["id", "rank", "label"]
+    margin = _margins(counts.join(test, "id"), index.join(model.weights, "ix"), "word", test.select(*keys), model)
+    return model, margin.select("id", "label", (F.col("margin") > 0).cast("double").alias("predicted"))

@@ -37,3 +37,18 @@ def test_fragments_of_equal_features_are_one_row(spark):
     assert model.n_columns == 5 and len(model.trace) <= 4
     preds = B.classify_svm(feats, model, index)
     assert preds.count() == 13 and preds.select("pred").where("pred is not null").distinct().count() <= 5
+
+
+def test_fact_classifier_needs_both_labels(spark):
+    rows = spark.createDataFrame([(i, ["a"], 0) for i in range(5)], "id long, words array<string>, label int")
+    with pytest.raises(ValueError):
+        B.train_fact_classifier(rows)
+
+
+def test_fact_classifier_scores_rows_without_words(spark):
+    rows = [(i, [f"w{i % 2}", "x"] if i % 5 else [], i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, words array<string>, label int")
+    model, scored = B.train_fact_classifier(df, max_iter=5)
+    got = {r.id: (r.label, r.predicted) for r in scored.collect()}
+    assert sorted(got) == list(range(32, 40)) and model.n_columns == 3
+    assert all(got[i][0] == got[i][1] for i in got if i % 5)
